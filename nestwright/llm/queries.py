@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from nestwright.llm import near_dedup
+from nestwright.llm import near_dedup, packing, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.query,
+    "op4_best_fit_packing": packing.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {}
