@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nestwright.llm import near_dedup, packing, secrets
+from nestwright.llm import exact_substrings, near_dedup, packing, secrets, sentence_dedup
 
 QUERIES = {
+    "op1_sentence_spans": sentence_dedup.query,
     "op2_secret_scan": secrets.query,
+    "op3_exact_substrings": exact_substrings.query,
     "op4_best_fit_packing": packing.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
