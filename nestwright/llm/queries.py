@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from nestwright.llm import exact_substrings, near_dedup, packing, secrets, sentence_dedup
+from nestwright.llm import exact_substrings, near_dedup, packing, quality_rules, secrets, sentence_dedup
 
 QUERIES = {
     "op1_sentence_spans": sentence_dedup.query,
     "op2_secret_scan": secrets.query,
     "op3_exact_substrings": exact_substrings.query,
     "op4_best_fit_packing": packing.query,
+    "op5_quality_rules": quality_rules.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {}
