@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nestwright.llm import exact_substrings, near_dedup, packing, quality_rules, secrets, sentence_dedup
+from nestwright.llm import chat_format, decontaminate, exact_substrings, near_dedup, packing, quality_rules, secrets, sentence_dedup
 
 QUERIES = {
     "op1_sentence_spans": sentence_dedup.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_exact_substrings": exact_substrings.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_chat_format": chat_format.query,
+    "op7_benchmark_decontamination": decontaminate.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {}
