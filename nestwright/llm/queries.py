@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nestwright.llm import chat_format, decontaminate, exact_substrings, near_dedup, packing, quality_rules, secrets, sentence_dedup
+from nestwright.llm import chat_format, decontaminate, exact_substrings, near_dedup, packing, quality_classifier, quality_rules, secrets, sentence_dedup, url_filter
 
 QUERIES = {
     "op1_sentence_spans": sentence_dedup.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_chat_format": chat_format.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_quality_classifier": quality_classifier.query,
+    "op9_url_filter": url_filter.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
 SQL: dict[str, str] = {}
