@@ -106,12 +106,16 @@ def step(v: Val, rest: list[str], spread: bool) -> Val:
             inner = step(Val(F.lit(None), v.type.elementType), rest[i:], False)
             if inner.missing:
                 return MISSING
-            return Val(F.transform(v.col, lambda x, t=v.type.elementType, r=rest[i:]: step(Val(x, t), r, False).col), T.ArrayType(inner.type))
+            return _spread(v, rest[i:], inner.type)
         else:
             return MISSING
     return v
 
 
+def _spread(v: Val, rest: list[str], kind: T.DataType) -> Val:
+    return Val(F.transform(v.col, lambda x: step(Val(x, v.type.elementType), rest, False).col), T.ArrayType(kind))
+
+
 def truth(v: Val) -> Column:
     """False for false, null, 0 and what is missing; everything else is true."""
     if v.missing or isinstance(v.type, T.NullType):

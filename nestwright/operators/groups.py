@@ -61,7 +61,8 @@ def accumulator(name: str, arg, env: Env, order: Order) -> Column:
         if v.missing or not isinstance(v.type, T.StructType):
             return F.max(F.lit(None))
         each = in_order(v.col, order)
-        return F.struct(*(F.try_element_at(F.transform(F.filter(each, lambda x: x.isNotNull()), lambda x, n=f.name: x[n]), F.lit(-1)).alias(f.name) for f in v.type))
+        latest = F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(-1))
+        return F.struct(*(latest.getField(f.name).alias(f.name) for f in v.type))
     raise NotImplementedError(f"the accumulator {name} is not supported")
 
 
