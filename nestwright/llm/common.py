@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 2_000_000
+#: Shuffle files of a finished write go at once instead of with the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and no executor owns the rows."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
+    was = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*written: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once what was made of them is written too."""
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def void_safe(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, of these types, so that other columns can't clash with an operator's own."""
     have = set(df.columns)

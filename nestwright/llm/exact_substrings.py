@@ -146,7 +146,7 @@ def _windows(window: int):
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), lo, hi: byte ranges that repeated windows cover; ranges may overlap."""
+    """doc_id, h1, h2 (hashes of the text), ranges (lo, hi: bytes that repeated windows cover; ranges may overlap)."""
     keyed = _keyed(docs)
     runs = C.materialize(keyed.mapInArrow(_runs(window), "doc_id bigint, h1 bigint, h2 bigint, s0 int, s1 int, place int, bucket bigint, f0 bigint, f1 bigint"))
     kinds = C.materialize(runs.groupBy("bucket", "f0", "f1").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*_KEY, "s0", "s1", "place"))))
@@ -163,20 +163,23 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = C.materialize(held.select("id", "bytes", "s0", "s1", "place").mapInArrow(_blocks(window), "id bigint, lo int, hi int, u0 bigint, u1 bigint, c0 bigint, c1 bigint").join(open_.select("id", "n"), "id"))
     same = blocks.groupBy("u0", "u1").agg(F.sum("n").alias("n")).where("n > 1").select("u0", "u1", F.lit(True).alias("same"))
     cores = blocks.groupBy("c0", "c1").agg(F.sum("n").alias("n")).where("n > 1").select("c0", "c1")
-    judged = C.materialize(blocks.join(cores, ["c0", "c1"], "left_semi").join(same, ["u0", "u1"], "left").select("id", "n", "lo", "hi", F.coalesce("same", F.lit(False)).alias("same")))
+    judged = C.materialize(blocks.join(cores, ["c0", "c1"], "left_semi").join(same, ["u0", "u1"], "left").select("id", "n", "lo", "hi", "c0", "c1", F.coalesce("same", F.lit(False)).alias("same")))
     # Level 3: windows of open blocks.
     far = held.select("id", "bytes", (F.col("place") - F.col("s0")).alias("far"))
     single = judged.where("not same").join(far, "id").select("id", "bytes", "far", "lo", "hi").mapInArrow(_windows(window), "id bigint, r int, w0 bigint, w1 bigint")
     single = C.materialize(single.join(open_.select("id", "n"), "id"))
-    # An equal block elsewhere holds the window too, so its windows count with the rest.
-    closed = judged.where("same").join(far, "id").select("id", "bytes", "far", "lo", "hi").mapInArrow(_windows(window), "id bigint, r int, w0 bigint, w1 bigint")
+    # An equal block elsewhere may hold the window too: those with the core of an open block count with the rest.
+    cores = judged.where("not same").select("c0", "c1").distinct()
+    closed = judged.where("same").join(cores, ["c0", "c1"], "left_semi").join(far, "id").select("id", "bytes", "far", "lo", "hi").mapInArrow(_windows(window), "id bigint, r int, w0 bigint, w1 bigint")
     wanted = single.select("w0", "w1").distinct()
     others = closed.join(wanted, ["w0", "w1"], "left_semi").select("w0", "w1", F.lit(1).cast("bigint").alias("n"))
     twice = single.select("w0", "w1", "n").unionByName(others).groupBy("w0", "w1").agg(F.sum("n").alias("m")).where("m > 1").select("w0", "w1")
     hits = single.join(twice, ["w0", "w1"], "left_semi").select("id", F.col("r").alias("lo"), F.col("r").alias("hi"))
     found = judged.where("same").select("id", "lo", "hi").unionByName(hits)
     ranges = found.join(open_.select("id", *_KEY, "place"), "id").select(*_KEY, (F.col("place") - F.col("hi")).alias("lo"), (F.col("place") - F.col("lo") + window).alias("hi"))
-    return equal.unionByName(ranges)
+    of_doc = C.materialize(equal.unionByName(ranges).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))  # at most a document's length
+    C.release(runs, kinds, open_, held, blocks, judged, single)
+    return of_doc
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -211,8 +214,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, removed (maximal byte runs taken out), kept (the bytes left; cuts may fall inside a character)."""
-    of_doc = repeated_ranges(docs, window).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    met = _met(_keyed(docs), of_doc, "ranges", "left")
+    met = _met(_keyed(docs), repeated_ranges(docs, window), "ranges", "left")
     return met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint, end:bigint>>, kept binary")
 
 
