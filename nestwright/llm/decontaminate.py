@@ -47,7 +47,7 @@ def prefixed(windows: DataFrame, keyed: DataFrame) -> DataFrame:
     """Distinct windows with their rarest word p and its offset o."""
     distinct = windows.select("w").distinct()
     vocabulary = distinct.select(F.explode("w").alias("p")).distinct()
-    counts = keyed.select(F.explode("words").alias("p")).join(vocabulary, "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
+    counts = keyed.select(F.explode("words").alias("p")).groupBy("p").agg(F.count("*").alias("n")).join(vocabulary, "p", "left_semi")
     ranked = distinct.select("w", F.posexplode("w").alias("o", "p")).join(counts, "p", "left").select("w", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p", "o").alias("x"))
     best = ranked.groupBy("w").agg(F.min("x").alias("x")).where("x.n > 0")
     return C.materialize(best.select("w", F.col("x.p").alias("p"), F.col("x.o").alias("o"), F.size("w").alias("len")))
