@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Shuffle files of a finished write go at once instead of with the driver's next garbage collection.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,7 +59,9 @@ def release(*written: DataFrame) -> None:
 
 def void_safe(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, of these types, so that other columns can't clash with an operator's own."""
-    have = set(df.columns)
+    have, conf = set(df.columns), df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":  # texts are long: ten thousand in a batch are much memory on both sides
+        conf.set(_BATCH, "1000")
     return df.select(*((F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
 
 

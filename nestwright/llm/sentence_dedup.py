@@ -93,15 +93,16 @@ def dedup_sentences(docs: DataFrame, k: int = SENTENCES, least_words: int = LEAS
     runs = C.materialize(keyed.mapInArrow(_hashed(k, least_words), "doc_id bigint, h1 bigint, h2 bigint, at int, size int, f0 bigint, f1 bigint"))
     # Of equal ids the place of the first text is the first place; -1 stands for a null id.
     order = F.coalesce("doc_id", F.lit(-(2**63)))
-    least = runs.groupBy("f0", "f1").agg(F.count("*").alias("n"), F.min(order).alias("d0")).where("n > 1").select("f0", "f1", "d0")
-    met = runs.join(least, ["f0", "f1"])
+    least = C.materialize(runs.groupBy("f0", "f1").agg(F.count("*").alias("n"), F.min(order).alias("d0")).where("n > 1").select("f0", "f1", "d0"))
+    met = C.materialize(runs.join(least, ["f0", "f1"]))
     # The first document may hold a run twice, or share its id with another text: settled among those rows alone.
     inside = met.where(order == F.col("d0"))
     first = inside.groupBy("f0", "f1").agg(F.min("h1").alias("x1"))
     first = inside.join(first, ["f0", "f1"]).where("h1 = x1").groupBy("f0", "f1", "x1").agg(F.min("at").alias("x0"))
     later = inside.join(first, ["f0", "f1"]).where("h1 <> x1 or at <> x0")
     gone = met.where(order != F.col("d0")).select(*_KEY, "at", "size").unionByName(later.select(*_KEY, "at", "size"))
-    of_doc = gone.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs"))  # at most a document's length
+    of_doc = C.materialize(gone.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs")))  # at most a document's length
+    C.release(runs, least, met)
     d, o = keyed.alias("d"), of_doc.alias("o")
     on = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h1") == F.col("o.h1")) & (F.col("d.h2") == F.col("o.h2"))
     return d.join(o, on, "left").select("d.doc_id", "d.text", "o.runs").mapInArrow(_cut, "doc_id bigint, n_sentences bigint, n_removed bigint, n_removed_words bigint, removed array<struct<start:bigint, end:bigint>>, text string")
