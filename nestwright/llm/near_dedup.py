@@ -2,9 +2,10 @@
 
 A document's set holds its distinct word shingles (words between ASCII spaces, A-Z lower-cased). Documents with
 equal sets are one class, so copies never meet in a join. Classes get MinHash samples; rows of samples form bands,
-and folding all samples into a parity bitmap gives an odd sketch. Candidates come from the bands: every class is
-held against the smallest and the largest class of its bucket (a star, linear in the bucket), and classes that are
-still in different components though they share a bucket are then held against each other. The number of ones in
+and folding one-permutation samples into a parity bitmap gives an odd sketch. Candidates come from the bands: every class is
+held against the least class of its bucket (a star, linear in the bucket), then, where a bucket still holds several
+components, against members of the largest of them, drawn anew in a few more rounds; only classes that are in different
+components after that though they share a bucket are held against each other. The number of ones in
 the XOR of two sketches estimates their similarity and rejects the hopeless; the rest is confirmed on full sets.
 
 Nulls and empty texts have an empty set, are linked with nothing and are their own component. Repeated rows share a
@@ -14,7 +15,6 @@ membership and kept by `keep_first`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,11 @@ from nestwright.llm import common as C
 
 SHINGLE, SIMILARITY = 5, 75
 #: 48 bands of 5 samples lose a pair of similarity 0.75 with odds of 2 in a million.
-BANDS, ROWS, SKETCH_BITS = 48, 5, 512
+BANDS, ROWS = 48, 5
+#: Samples folded into a sketch (2 to the power), its bits, and the deviations of the estimate that are allowed for.
+BIN_BITS, SKETCH_BITS, DEVIATIONS = 11, 2048, 4.4
+#: Rounds of stars, the centres drawn for each bucket in a round, and the rows up to which the classes to confirm are broadcast.
+STAR_ROUNDS, CENTRES, BROADCAST_ROWS = 1, 3, 200_000
 _SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**31, _SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -64,20 +68,12 @@ def samples(value: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(sampled: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the (position, sample) pairs, as 64-bit words."""
-    slot = C.mix(sampled.astype(np.uint64) * np.uint64(_SAMPLES) + np.arange(_SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    odd = (np.bincount(slot.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
-
-
-def most_ones(similarity: float) -> int:
-    """XOR ones that a pair of this similarity exceeds with odds of about one in ten million (5.2 deviations)."""
-    n, m = SKETCH_BITS, 2 * _SAMPLES * (1 - similarity)
-    mean = n * (1 - math.exp(-2 * m / n)) / 2
-    slope = math.exp(-2 * m / n)
-    var = n * (1 - math.exp(-4 * m / n)) / 4 + (2 * slope) ** 2 * _SAMPLES * similarity * (1 - similarity)
-    return math.ceil(mean + 5.2 * math.sqrt(var))
+def sketch(value: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap, as 64-bit words, of one-permutation MinHash samples (the least hash of each bin), and their number."""
+    bins = value >> np.uint64(64 - BIN_BITS)
+    least = value[np.append(True, bins[1:] != bins[:-1])]  # value is sorted
+    odd = np.bincount((C.mix(least) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), len(least)
 
 
 def _signatures(k: int):
@@ -89,15 +85,15 @@ def _signatures(k: int):
             for i in range(len(batch)):
                 own = value[at[i] : at[i + 1]]
                 if not len(own):
-                    nodes.append(None), bands.append(None), marks.append(None)
+                    nodes.append(None), bands.append(None), marks.append((None, 0))
                     continue
                 pair = [C.mix(own ^ np.uint64(s)).sum(dtype=np.uint64) + np.uint64(len(own)) for s in (0x1234567, 0xABCDEF01)]
                 nodes.append(np.array(pair, np.uint64).tobytes())
                 sampled = samples(own)
                 rows = (sampled.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * scale
                 bands.append(C.mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                marks.append(sketch(sampled))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+                marks.append(sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([m for m, _ in marks], pa.list_(pa.int64())), pa.array([n for _, n in marks], pa.int32())], ["doc_id", "n_shingles", "node", "bands", "sketch", "bins"])
 
     return run
 
@@ -114,7 +110,7 @@ def _sets(k: int):
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, node (the class: a 128-bit digest of the set; null if empty), bands, sketch."""
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
-    return rows.mapInArrow(_signatures(k), "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(_signatures(k), "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bins int")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -140,15 +136,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _near(left: str, right: str, most: int) -> Column:
-    ones = sum((F.bit_count(F.get(F.col(left), F.lit(i)).bitwiseXOR(F.get(F.col(right), F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return ones <= most
+def _plausible(x: str, y: str, similarity: int) -> Column:
+    """Sizes allow the similarity, and the XOR of the sketches doesn't speak against it: of the bins that sets of these
+    sizes and this similarity fill together, that share holds the same sample in both; the sets differ in all other
+    samples, and the number of ones in the XOR estimates in how many they do."""
+    of = lambda c: (F.col(f"{c}_{x}"), F.col(f"{c}_{y}"))
+    (n1, n2), (a, b), (s1, s2), j, total = of("n"), of("bins"), of("sketch"), similarity / 100, float(1 << BIN_BITS)
+    ones = sum((F.bit_count(F.get(s1, F.lit(i)).bitwiseXOR(F.get(s2, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    both = j * (n1 + n2) / (1 + j)
+    filled = (a + b + (n2 - both) * (1 - a / total) + (n1 - both) * (1 - b / total)) / 2
+    most = F.greatest(a + b - 2 * j * filled, F.lit(0.0))
+    thinned = F.greatest(1 - filled * (1 + j) / (n1 + n2), F.lit(0.02))  # near 0 if nearly all of both sets are samples
+    varies = 4 * filled * j * (1 - j) * thinned + 4 * j * j * F.greatest(n1 - both, n2 - both, F.lit(0.0)) * filled / total + SKETCH_BITS / 4 * (F.exp(4 * most / SKETCH_BITS) - 1 - 4 * most / SKETCH_BITS)
+    differ = -SKETCH_BITS / 2 * F.log(F.greatest(1 - 2 * ones / SKETCH_BITS, F.lit(1e-3)))
+    return (F.lit(100) * F.least(n1, n2) >= F.lit(similarity) * F.greatest(n1, n2)) & (differ <= most + DEVIATIONS * F.sqrt(varies) + 1)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: int, k: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = reps.join(wanted, "node").select("node", "doc_id", "h1", "h2")
+    chosen = C.materialize(reps.join(wanted, "node").select("node", "doc_id", "h1", "h2"))
+    if chosen.count() <= BROADCAST_ROWS:  # 48 bytes each; beyond that the texts are shuffled
+        chosen = F.broadcast(chosen)
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
     h1, h2 = C.text_key(F.col("text"))
     held = rows.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")).alias("d").join(chosen.alias("c"), (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("d.h1") == F.col("c.h1")) & (F.col("d.h2") == F.col("c.h2")))
@@ -164,33 +173,59 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHIN
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
     h1, h2 = C.text_key(F.col("text"))
     keyed = rows.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
-    made = keyed.mapInArrow(_keyed(k), "doc_id bigint, h1 bigint, h2 bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>")
+    made = keyed.mapInArrow(_keyed(k), "doc_id bigint, h1 bigint, h2 bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bins int")
     signed = C.materialize(made)
     first = F.min(F.struct("doc_id", "h1", "h2"))
-    classes = C.materialize(signed.where("node is not null").groupBy("node").agg(first.alias("f"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("node", "least", "f.*", "bands", "sketch"))
+    classes = C.materialize(signed.where("node is not null").groupBy("node").agg(first.alias("f"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n")).select("node", "least", "f.*", "bands", "sketch", "bins", "n"))
     reps = classes.select("node", "doc_id", "h1", "h2")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1").drop("n")
+    crowds = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1").drop("n")
     members = C.materialize(banded.join(crowds, "band"))
-    marks = classes.select("node", "sketch")
+    marks = classes.select("node", "n", "bins", "sketch")
 
     def judged(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        return C.materialize(met.where(_near("x", "y", most_ones(similarity / 100))).select("a", "b"))
-
-    stars = members.select(F.col("node").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _confirmed(judged(stars), docs, reps, similarity, k)
-    roots = components(links)
-    # Buckets that still hold several components: each class there against those of other components.
-    placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    open_ = C.materialize(placed.join(mixed, "band").join(marks, "node"))
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "sketch"))) for s in "xy")
-    across = x.join(y, "band").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _near("sketch_x", "sketch_y", most_ones(similarity / 100)))
-    pairs = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    tested = C.materialize(pairs.join(stars, ["a", "b"], "left_anti"))
-    more = _confirmed(tested, docs, reps, similarity, k)
-    whole = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        of = lambda c: marks.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "bins", "sketch")))
+        return C.materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(_plausible("a", "b", similarity)).select("a", "b"))
+
+    def held(roots: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, with their roots."""
+        placed = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(1)).alias("size"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+        return C.materialize(placed.join(mixed, "band"))
+
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        """roots (node, root, n: classes of the component) after more links, by joining components instead of classes."""
+        if roots is None:
+            found = components(links)
+        else:
+            ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r")) for c in "ab"]
+            met = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+            moved = C.materialize(components(met))
+            kept = roots.select("node", "root").join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            found = kept.unionByName(moved.select("node", "root").join(roots.select("node"), "node", "left_anti"))
+        found = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+        return C.materialize(found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", "n"))
+
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = members.where("node <> lo").select(F.col("node").alias("b"), F.col("lo").alias("a")).distinct()
+    roots = merged(None, _confirmed(judged(stars), docs, reps, similarity, k))
+    open_ = held(roots, members)
+    for turn in range(STAR_ROUNDS):
+        if open_.isEmpty():
+            break
+        # In each bucket members of its largest component, drawn anew, against the members of all others.
+        by = lambda i: F.struct(F.col("size"), F.col("root"), F.xxhash64("band", "node", F.lit(turn), F.lit(i)))
+        centre = open_.groupBy("band").agg(*(F.max_by(F.struct("node", "root"), by(i)).alias(f"c{i}") for i in range(CENTRES)))
+        met = open_.join(centre, "band").where("c0.root <> root").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*(F.col(f"c{i}.node") for i in range(CENTRES))))).alias("b")).select(*ordered).distinct()
+        roots = merged(roots, _confirmed(judged(met), docs, reps, similarity, k))
+        open_ = held(roots, open_)
+    # What is left: each class against those of other components in its buckets.
+    x, y = (open_.join(classes.select("node", "n", "bins", "sketch", "bands"), "node").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "bins", "sketch", "bands"))) for s in "xy")
+    shared = F.element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1)  # a pair meets in its first bucket only
+    across = x.join(y, "band").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _plausible("x", "y", similarity) & (F.col("band") == shared))
+    more = _confirmed(C.materialize(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))), docs, reps, similarity, k)
+    whole = merged(roots, more).select("node", "root")
     joined = classes.select("node", "least").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = joined.join(least, "root").select("node", "component_id")
