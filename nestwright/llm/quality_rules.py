@@ -21,7 +21,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Most distance from the language's reference, and the words from which a histogram is long enough.
 CLASS_DISTANCE, CLASS_WORDS, COMMON_DISTANCE, COMMON_WORDS = 0.25, 50, 0.31, 100
-#: Common words by language.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Common words by language, in lower case as they stand inside sentences; as many as there are letters above at most.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
     "en": "the of and to in a is that for it as was with be by on not he at are".split(),
@@ -30,10 +31,6 @@ COMMON = {
 }
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-
 def _windows(words: Column, size: int = WINDOW) -> Column:
     """Hash of every window of `size` words."""
     n = F.size(words)
@@ -67,17 +64,18 @@ def measured(docs: DataFrame, common: dict[str, list[str]] = COMMON) -> DataFram
     """doc_id, lang (null if unlisted), the counts, and the histograms `classes` and `words_hist`."""
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string", "lang": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
     lists = F.create_map(*(x for lang, w in sorted(common.items()) for x in (F.lit(lang), F.array(*map(F.lit, w)))))
-    split = rows.select("doc_id", "text", F.when(F.col("lang").isin(*common), F.col("lang")).alias("lang"), F.filter(F.split("text", SPACES), lambda w: w != "").alias("words"))
+    split = rows.select("doc_id", "text", F.when(F.col("lang").isin(*common), F.col("lang")).alias("lang"), F.array_remove(F.split("text", SPACES), "").alias("words")).withColumn("common", F.element_at(lists, F.col("lang")))
     only = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", ""))
+    # A common word becomes a letter, so that one short string per document holds all that is counted.
+    letter = lambda w: F.coalesce(F.substring(F.lit(_LETTERS), F.array_position("common", w).cast("int"), F.least(F.array_position("common", w), F.lit(1)).cast("int")), F.lit(""))
     wide = _repeats(split.select(
-        "doc_id", "lang", F.size("words").cast("bigint").alias("n_words"), _sum(F.transform("words", lambda w: F.length(w).cast("bigint"))).alias("word_chars"), F.length("text").alias("n_chars"),
+        "doc_id", "lang", F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"), F.length("text").alias("n_chars"),
         only(r"#*$%&|<>").cast("bigint").alias("n_symbols"), only("A-Z").alias("n_upper"), only("0-9").alias("n_digits"), only(r".,;:!?'\"()\-").alias("n_points"), (F.octet_length("text") - F.length("text")).alias("n_wide"),
         F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")).alias("joined"),
+        F.size("common").alias("n_common"), F.array_join(F.transform("words", letter), "").alias("letters"),
         _windows(F.col("words")).alias("hashes"),
     ))
-    found = lambda w: ((F.octet_length("joined") - F.octet_length(F.replace(F.col("joined"), F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)).cast("double")
-    counts = F.when(F.col("lang").isNotNull(), F.transform(F.element_at(lists, F.col("lang")), found))
+    counts = F.when(F.col("lang").isNotNull(), F.transform(F.sequence(F.lit(1), F.col("n_common")), lambda i: (F.octet_length("letters") - F.octet_length(F.replace(F.col("letters"), F.substring(F.lit(_LETTERS), i, F.lit(1))))).cast("double")))
     rest = F.greatest(F.col("word_chars") - F.col("n_symbols") - F.col("n_upper") - F.col("n_digits") - F.col("n_points") - F.col("n_wide"), F.lit(0))
     classes = F.array(*(x.cast("double") for x in (F.col("n_chars") - F.col("word_chars"), F.col("n_symbols").cast("bigint"), F.col("n_upper"), F.col("n_digits"), F.col("n_points"), F.col("n_wide"), rest)))
     return wide.select(
