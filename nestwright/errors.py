@@ -19,3 +19,10 @@ class CollectionInvalid(Exception):
 
 class InvalidOperation(Exception):
     """A call that is not allowed in this state."""
+
+class BulkWriteError(WriteError):
+    """Some writes of a list failed; `details` says which and what was done."""
+
+    def __init__(self, details: dict):
+        super().__init__("batch op errors occurred")
+        self.details = details
