@@ -117,14 +117,17 @@ def changed(old: Val | None, rest: list[str], change: Change, match: Column, at:
     if name == "$":
         if at is None:
             raise WriteError("the positional operator needs a condition on its array")
-        place = F.when(at.isNull(), F.raise_error(F.lit("The positional operator did not find the match needed from the query.")).cast("int")).otherwise(at)
+        place = F.when(match & (at < 0), F.raise_error(F.lit("The positional operator did not find the match needed from the query.")).cast("int")).otherwise(at)
     elif re.fullmatch(r"\d+", name):
         place = F.lit(int(name))
     else:
         raise WriteError(f"can't create the field {name} in an array")
     wide = Val(retyped(old, kind), kind)
-    new = F.transform(wide.col, lambda x, i: F.when(i == place, changed(Val(x, kind.elementType), more, change, yes, None).col).otherwise(x))
-    if name != "$":
+    if name == "$":  # the place is searched for once a row, not once an element
+        one = changed(Val(F.get(wide.col, place), kind.elementType), more, change, yes, None).col
+        new = F.concat(F.slice(wide.col, F.lit(1), place), F.array(one), F.slice(wide.col, place + 2, F.size(wide.col)))
+    else:
+        new = F.transform(wide.col, lambda x, i: F.when(i == place, changed(Val(x, kind.elementType), more, change, yes, None).col).otherwise(x))
         gap = F.array_repeat(F.lit(None).cast(kind.elementType), F.greatest(place - F.size(wide.col), F.lit(0)))
         end = F.array(changed(Val(F.lit(None).cast(kind.elementType), kind.elementType), more, change, yes, None).col)
         new = F.when(F.size(wide.col) > place, new).otherwise(F.concat(wide.col, gap, end))
@@ -132,7 +135,7 @@ def changed(old: Val | None, rest: list[str], change: Change, match: Column, at:
 
 
 def place_of(path: str, filter_: dict, state: dict[str, Val], env: Env) -> Column | None:
-    """Where in the array before `.$` the first element stands that the filter's conditions on the array accept."""
+    """Where in the array before `.$` the first element stands that the filter's conditions on the array accept; -1 if none does."""
     head, *rest = path.split(".")
     if "$" not in rest:
         return None
@@ -157,7 +160,7 @@ def place_of(path: str, filter_: dict, state: dict[str, Val], env: Env) -> Colum
             out = out & t(Val(x, v.type.elementType))
         return sure(out)
 
-    return F.nullif(F.array_position(F.transform(v.col, hit), True), F.lit(0)).cast("int") - 1
+    return F.coalesce(F.array_position(F.transform(v.col, hit), True), F.lit(0)).cast("int") - 1
 
 
 def _equal(x: Val, value) -> Column:

@@ -195,3 +195,45 @@ for _name, _e, _sql in (
     ("split", "$w", "w"),
 ):
     add(f"expr_{_name}", "part", [{"$addFields": {"w": {"$split": ["$p_name", " "]}}}, {"$project": {"p_partkey": 1, "x": _e}}], f"SELECT p_partkey, array_to_string({_sql}, ',') AS x FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)", lambda df: df.withColumn("x", F.array_join("x", ",")))
+
+
+# Collections --------------------------------------------------------------------------------------
+def _collection(name: str, table: str, call, sql: str) -> None:
+    """A query over a collection that holds a table; `call` gets the collection and returns a DataFrame."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from nestwright.sources.collections import Client
+
+        db = Client(spark, lambda: _CUT)["tables"]
+        return call(db.load(table, _table(spark, sf_dir, table)))
+
+    QUERIES[name], SQL[name] = query, sql
+
+
+def _after(change):
+    """The collection's documents after a write."""
+
+    def call(c):
+        change(c)
+        return c.find().df
+
+    return call
+
+
+_ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+_CUSTOMERS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
+_collection("find_filter_project", "orders", lambda c: c.find({"o_totalprice": {"$gt": 100000}}, ["o_orderkey", "o_totalprice"]).df, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+_collection("find_exclude", "orders", lambda c: c.find({"o_orderstatus": "F"}, {"o_orderdate": 0, "o_orderpriority": 0}).df, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+_collection("find_sort_skip_limit", "orders", lambda c: c.find({}, ["o_orderkey", "o_custkey"]).sort([("o_custkey", -1), ("o_orderkey", 1)]).skip(10).limit(25).df, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25 OFFSET 10")
+_collection("find_negative_limit", "orders", lambda c: c.find({}, ["o_orderkey"]).sort("o_orderkey").limit(-7).df, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
+_collection("distinct", "lineitem", lambda c: c.distinct_df("l_shipdate", {"l_quantity": {"$lt": 20}}), "SELECT DISTINCT l_shipdate AS value FROM lineitem WHERE l_quantity < 20")
+_collection("distinct_array", "embeddings", lambda c: c.distinct_df("embedding", {"label": 1}), "SELECT DISTINCT unnest(embedding) AS value FROM embeddings WHERE label = 1")
+_collection("update_many_set_inc", "orders", _after(lambda c: c.update_many({"o_orderstatus": "O"}, {"$set": {"o_orderpriority": "none"}, "$inc": {"o_custkey": 5}})), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey + 5 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderstatus = 'O' THEN 'none' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+_collection("update_min_max", "customer", _after(lambda c: c.update_many({"c_nationkey": {"$lt": 12}}, {"$max": {"c_acctbal": 1000.0}, "$min": {"c_nationkey": 4}})), "SELECT c_custkey, c_name, CASE WHEN c_nationkey < 12 THEN least(c_nationkey, 4) ELSE c_nationkey END AS c_nationkey, CASE WHEN c_nationkey < 12 THEN greatest(c_acctbal, 1000) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+_collection("update_unset_rename", "customer", _after(lambda c: c.update_many({"c_acctbal": {"$lt": 0}}, {"$unset": {"c_name": ""}, "$rename": {"c_mktsegment": "segment"}})), "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS segment FROM customer")
+_collection("update_arrays", "embeddings", lambda c: (c.update_many({"label": 2}, {"$push": {"embedding": {"$each": [0.5], "$position": 0, "$slice": 3}}}), c.update_many({"label": 3}, {"$pop": {"embedding": 1}})) and c.aggregate_df([{"$project": {"vec_id": 1, "n": {"$size": "$embedding"}}}]), "SELECT vec_id, CAST(CASE label WHEN 2 THEN 3 WHEN 3 THEN len(embedding) - 1 ELSE len(embedding) END AS INTEGER) AS n FROM embeddings")
+_collection("replace_one", "region", _after(lambda c: c.replace_one({"r_regionkey": 2}, {"r_name": "replaced"})), "SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END AS r_regionkey, CASE WHEN r_regionkey = 2 THEN 'replaced' ELSE r_name END AS r_name FROM region")
+_collection("delete_many", "orders", _after(lambda c: c.delete_many({"o_orderdate": {"$lt": datetime.datetime(1997, 1, 1)}})), f"SELECT {_ORDERS} FROM orders WHERE NOT o_orderdate < TIMESTAMP '1997-01-01'")
+_collection("insert_df", "customer", _after(lambda c: c.insert_df(c.find({"c_nationkey": 3}).df)), f"SELECT {_CUSTOMERS} FROM customer UNION ALL SELECT {_CUSTOMERS} FROM customer WHERE c_nationkey = 3")
+_collection("expiry", "events", lambda c: (c.create_index("ts", expireAfterSeconds=0), c.find({}, ["event_id"]).df)[1], "SELECT event_id FROM events WHERE NOT ts <= TIMESTAMP '2000-01-01'")
+_collection("map_reduce", "lineitem", lambda c: c.map_reduce(lambda d: [(d["l_returnflag"], d["l_linenumber"])], lambda k, v: sum(v), "sums", "bigint").find().df, "SELECT l_returnflag AS _id, CAST(sum(l_linenumber) AS BIGINT) AS value FROM lineitem GROUP BY 1")
