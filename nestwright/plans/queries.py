@@ -128,6 +128,8 @@ add("lookup_anti", "customer", [{"$lookup": {"from": "orders", "localField": "c_
 add("lookup_count", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$o"}}}], "SELECT c_custkey, CAST(count(o_orderkey) AS INTEGER) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 add("lookup_local_array", "region", [{"$project": {"r_name": 1, "keys": {"$map": {"input": {"$split": ["1,2,2,40", ","]}, "in": {"$toInt": "$$this"}}}}}, {"$lookup": {"from": "nation", "localField": "keys", "foreignField": "n_nationkey", "as": "n"}}, {"$project": {"r_name": 1, "k": {"$size": "$n"}}}], "SELECT r_name, 2 AS k FROM region")
 add("graphlookup", "nation", [{"$match": {"n_nationkey": {"$lt": 3}}}, {"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "d", "maxDepth": 3}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$up"}}}], "WITH RECURSIVE r AS (SELECT a.n_nationkey AS s, b.n_nationkey AS k, b.n_regionkey AS up, 0 AS d FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey WHERE a.n_nationkey < 3 UNION SELECT s, n_nationkey, n_regionkey, d + 1 FROM r JOIN nation ON n_nationkey = up WHERE d < 3) SELECT s AS n_nationkey, CAST(count(DISTINCT k) AS INTEGER) AS n FROM r GROUP BY 1")
+# The same from every nation: the one above starts from three only. Nations that reach nothing count 0.
+add("graphlookup_whole", "nation", [{"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "d", "maxDepth": 3}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$up"}}}], "WITH RECURSIVE r AS (SELECT a.n_nationkey AS s, b.n_nationkey AS k, b.n_regionkey AS up, 0 AS d FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey UNION SELECT s, n_nationkey, n_regionkey, d + 1 FROM r JOIN nation ON n_nationkey = up WHERE d < 3) SELECT n_nationkey, CAST(count(DISTINCT k) AS INTEGER) AS n FROM nation LEFT JOIN r ON s = n_nationkey GROUP BY 1")
 
 # Expressions --------------------------------------------------------------------------------------
 _O, _L, _P = ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("part", "p_partkey")

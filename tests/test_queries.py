@@ -42,3 +42,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_graphlookup_starts_from_every_row(spark):
+    import bench
+
+    names = [n for n in bench.NAMES if n.startswith("graphlookup")]
+    keys = sorted(r.n_nationkey for r in spark.read.parquet(f"{DATA}/nation.parquet").collect())
+    assert names and len(keys) > 3
+    for n in names:
+        assert sorted(r.n_nationkey for r in QUERIES[n](spark, DATA).collect()) == keys
