@@ -10,7 +10,7 @@ the XOR of two sketches estimates their similarity and rejects the hopeless; the
 
 Nulls and empty texts have an empty set, are linked with nothing and are their own component. Repeated rows share a
 class and a component. A text of fewer words than a shingle is one shingle. Extra columns are ignored by the
-membership and kept by `keep_first`.
+membership and kept by `keep_first`. Ids may repeat or be null: a component is told by its root class, not by its id.
 """
 
 from __future__ import annotations
@@ -170,6 +170,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: i
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, h1, h2 (hashes of the text), n_shingles, component_id: one row per row of docs. Ids of a component are
     joined by links of at least `similarity` per cent; component_id is the least doc_id among them."""
+    return _placed(docs, similarity, k).drop("root")
+
+
+def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
+    """near_duplicates with the root of each row's component (null for an empty set)."""
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
     h1, h2 = C.text_key(F.col("text"))
     keyed = rows.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
@@ -228,9 +233,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHIN
     whole = merged(roots, more).select("node", "root")
     joined = classes.select("node", "least").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(least, "root").select("node", "component_id")
+    ids = joined.join(least, "root").select("node", "root", "component_id")
     out = signed.select("doc_id", "h1", "h2", "n_shingles", "node").join(ids, "node", "left")
-    return out.select("doc_id", "h1", "h2", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h1", "h2", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def _keyed(k: int):
@@ -245,17 +250,23 @@ def _keyed(k: int):
 
 
 def keep_first(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the least doc_id (of equal rows with
-    that id, one) stays. All columns are kept."""
-    found = near_duplicates(docs, similarity, k).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).groupBy("__id").agg(F.min(F.struct("__h1", "__h2")).alias("__h")).select("__id", "__h.*")
+    """The rows of docs without near duplicates: of each component one row stays, that with the least doc_id (null ids
+    last), then the least hashes of the text. Rows with an empty set all stay but for repeats of an id with its text.
+    All columns are kept."""
+    found = _placed(docs, similarity, k)
+    least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("f")).select("f.*")
+    empty = found.where("root is null").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2").distinct()
+    names = least.select("doc_id", "h1", "h2", F.lit(False).alias("lone")).unionByName(empty.select("doc_id", "h1", "h2", F.col("no_id").alias("lone")))
+    keys = names.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lone").alias("__lone"))
     h1, h2 = C.text_key(F.col("text").cast("string"))
-    kept = docs.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2")), "left_semi")
-    copies = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(keys, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2")))
+    copies = kept.where("not __lone").groupBy("__id", "__h1", "__h2").count().where("count > 1")
     if copies.isEmpty():
-        return kept
-    row = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(row)).where("__n = 1").drop("__n")
+        return kept.select(*docs.columns)
+    # Empty texts without an id are nobody's copies: each gets a number, so that none shares its window with another.
+    number = F.when(F.col("__lone"), F.monotonically_increasing_id())
+    row = Window.partitionBy("__id", "text", "__row").orderBy("text")
+    return kept.withColumn("__row", number).withColumn("__n", F.row_number().over(row)).where("__n = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

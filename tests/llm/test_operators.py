@@ -67,6 +67,16 @@ def test_near_duplicates(docs, rows, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_keep_first_of_null_and_repeated_ids(put):
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    # Different texts without an id or under one id are components of their own; near copies and repeats aren't.
+    docs = [(None, a, 0), (None, b, 1), (None, b, 2), (None, c, 3), (7, c + " more", 4), (1, d, 5), (1, e, 6), (1, e, 7), (2, e + " more", 8), (None, None, 9), (None, "", 10), (None, " ", 11), (3, "", 12), (3, "", 13), (4, "", 14), (5, f, 15), (5, g, 16), (6, g, 17)]
+    kept = Counter((x.doc_id, x.text) for x in near_dedup.keep_first(put(docs, "doc_id bigint, text string, n int")).collect())
+    assert kept == Counter([(None, a), (None, b), (7, c + " more"), (1, d), (1, e), (None, None), (None, ""), (None, " "), (3, ""), (4, ""), (5, f), (5, g)])
+
+
 def test_exact_substrings(docs, rows, none):
     texts = [(r[1] or "").encode() for r in rows]
     count = Counter(t[s : s + 400] for t in texts for s in range(len(t) - 399))
