@@ -5,6 +5,11 @@ sentences of a document is hashed (128 bits, A-Z lower-cased); a document of few
 occurs more than once stays at its first place (least doc_id, then place) and takes all its sentences out elsewhere.
 Runs of fewer than `least_words` words are left alone: they meet by chance.
 
+Runs also grow by content, from every sentence: where fewer than `k` sentences reach FEW_WORDS words, the fewest that do
+are a run, so that long sentences are found; where `k` sentences have fewer than `least_words` words, the fewest that
+reach them are, so that very short ones are. What stays of a repeat: the sentences at its ends that it holds in part,
+and all of it where it holds no whole run (one or two sentences of fewer than FEW_WORDS words, or none).
+
 Null and empty texts have no sentences. Of repeated rows (equal id and text) the rows can't be told apart, so they are
 one document. Null ids come first. Other columns are ignored.
 """
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from nestwright.llm import common as C
 
 SENTENCES, LEAST_WORDS = 3, 12
+#: Words from which fewer than SENTENCES sentences are a run: fewer words are often a stock sentence.
+FEW_WORDS = 25
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _KEY = ("doc_id", "h1", "h2")
@@ -38,6 +45,28 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[first], ends[stop], doc[first], stop - first + 1
 
 
+def grown(words: np.ndarray, doc: np.ndarray, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and size of the runs that grow by content and aren't of `k` sentences or a whole short document."""
+    sums, at = np.append(0, np.cumsum(words)), np.arange(len(words))
+    first, end = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+    few, many = (np.searchsorted(sums, sums[:-1] + n) - at for n in (max(FEW_WORDS, least_words), least_words))
+    few_fit = (few < k) & (at + few <= end) & ~((at == first) & (few == end - first))
+    many_fit = (many > k) & (at + many <= end)
+    return np.append(at[few_fit], at[many_fit]), np.append(few[few_fit], many[many_fit])
+
+
+def _sized_hashes(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of differing size, equal to those of C.run_hashes."""
+    out = np.zeros(len(at), np.uint64)
+    for n in np.unique(size):
+        of = np.flatnonzero(size == n)
+        total = np.zeros(len(of), np.uint64)
+        for i in range(n):
+            total = C.mix(total * np.uint64(0xFF51AFD7ED558CCD) + hashes[at[of] + i] + np.uint64(i + 1))
+        out[of] = total
+    return out
+
+
 def _hashed(k: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in C.sliced(batches):
@@ -55,6 +84,9 @@ def _hashed(k: int, least_words: int):
                 own = [C.run_hashes(h[first[d] : first[d] + count[d]], np.zeros(count[d], np.int64), int(count[d]))[1][0] for h in (one, C.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5))) for d in short]
                 at, size = np.append(at, first[short]), np.append(size, count[short])
                 f0, f1 = np.append(f0, np.array(own[: len(short)], np.uint64)), np.append(f1, np.array(own[len(short) :], np.uint64))
+            more, sizes = grown(words, doc, k, least_words)
+            at, size = np.append(at, more), np.append(size, sizes)
+            f0, f1 = (np.append(f, _sized_hashes(h, more, sizes)) for f, h in ((f0, one), (f1, C.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
             use = sums[at + size] - sums[at] >= least_words
             at, size, f0, f1 = at[use], size[use], f0[use], f1[use]
             d = doc[at]

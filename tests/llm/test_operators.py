@@ -102,6 +102,44 @@ def test_sentence_dedup(docs, none):
     assert sentence_dedup.dedup_sentences(none).count() == 0
 
 
+def test_sentence_runs_grow_by_content(put):
+    r = random.Random(4)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    long, short, chance = sentence(60), " ".join(sentence(1 + i % 2) for i in range(40)), sentence(10)
+    around = lambda x: f"{sentence(9)} {x} {sentence(9)}"
+    two = sentence(30) + " " + sentence(30)
+    texts = [t for x in (long, short, two, chance) for t in (around(x), around(x))] + [sentence(30) + " " + sentence(4)] * 2
+    got = {x.doc_id: x for x in sentence_dedup.dedup_sentences(put(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i].n_removed_words for i in range(10)] == [0, 60, 0, 60, 0, 60, 0, 0, 0, 34]
+    assert all("".join(got[i].text.split()) == "".join(texts[i].replace(x, "").split()) for i, x in ((1, long), (3, short), (5, two)))
+
+
+def test_sentence_dedup_by_brute_force(docs, rows):
+    """Every run of every document in plain Python: what isn't first goes."""
+    rows = sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
+    runs, parts = {}, {}
+    for d, (_, t) in enumerate(rows):
+        own = parts[d] = []
+        for line in t.lower().split("\n"):
+            fresh = True
+            for w in re.findall(r"[^\x20\x09-\x0d]+", line):
+                own += [[]] if fresh else []
+                own[-1].append(w)
+                fresh = w[-1] in ".!?"
+        n = list(map(len, own))
+        for i in range(len(own)):
+            sizes = {3} if len(own) >= 3 else {len(own)} if i == 0 else set()
+            for least, fits in ((25, lambda x: x < 3), (12, lambda x: x > 3)):
+                sizes |= {next((x for x in range(1, len(own) - i + 1) if sum(n[i : i + x]) >= least and fits(x) and sum(n[i : i + x - 1]) < least), 0)}
+            for x in sizes - {0}:
+                if i + x <= len(own) and sum(n[i : i + x]) >= 12:
+                    runs.setdefault(tuple(map(tuple, own[i : i + x])), []).append((d, i, x))
+    gone = {(d, j) for places in runs.values() for d, i, x in sorted(places)[1:] for j in range(i, i + x)}
+    want = {(rows[d][0], len(own), sum((d, j) in gone for j in range(len(own))), sum(len(own[j]) for j in range(len(own)) if (d, j) in gone)) for d, own in parts.items()}
+    got = sentence_dedup.dedup_sentences(docs).collect()
+    assert {(x.doc_id, x.n_sentences, x.n_removed, x.n_removed_words) for x in got} == want
+
+
 def test_secrets(put, docs, none):
     r = np.random.default_rng(5)
     alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
