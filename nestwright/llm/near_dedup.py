@@ -115,7 +115,8 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node that links reach) for every node in links (a, b). Alternates large and small stars
-    on written tables until nothing changes; each star is a grouped minimum and a join, with no group collected."""
+    on written tables until nothing changes (an error after so many rounds); each star is a grouped minimum and a join,
+    with no group collected."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -133,6 +134,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

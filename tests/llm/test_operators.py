@@ -77,6 +77,13 @@ def test_keep_first_of_null_and_repeated_ids(put):
     assert kept == Counter([(None, a), (None, b), (7, c + " more"), (1, d), (1, e), (None, None), (None, ""), (None, " "), (3, ""), (4, ""), (5, f), (5, g)])
 
 
+def test_components_settle_or_raise(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        near_dedup.components(links, 2)
+    assert {tuple(x) for x in near_dedup.components(links).collect()} == {(i, 0) for i in range(1, 41)}
+
+
 def test_exact_substrings(docs, rows, none):
     texts = [(r[1] or "").encode() for r in rows]
     count = Counter(t[s : s + 400] for t in texts for s in range(len(t) - 399))
