@@ -181,6 +181,23 @@ def test_packing(docs, rows, none):
     assert packing.packed(none).count() == 0
 
 
+def test_packing_ids_are_the_tokenizers(rows):
+    """Both encoders against Tokenizer.encode, id by id; special tokens in a text are ordinary characters."""
+    from tokenizers import Tokenizer
+
+    ids = packing.Ids()
+    whole = Tokenizer.from_file(ids.path)
+    whole.encode_special_tokens = True
+    r = random.Random(8)
+    kinds = ["plain text, it's 1234567 words.", "  spaces \t\r\n\n  lines ", "Straße œuvre ĳ ſ Ωμέγα Привет — “x” 10€", "日本語 \u0301e ﬁ ١٢٣", "\u00a0\u2003\u200b\ufeff", "🙂👩‍👩‍👧", "x" * 2500, "=" * 1999, "a<|endoftext|>b", "", " ", "\x00\x1c\x85"]
+    pool = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(161, 384), *range(913, 1104), 0x2014, 0x201C, 0x20AC, 0x4E2D, 0x1F642)]
+    texts = kinds + [x[1] or "" for x in rows] + ["".join(r.choice(pool[: r.choice((100, 320, len(pool)))]) for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    fast = [ids.odd(t) is None for t in texts]
+    assert sum(fast) > 100 and sum(not x for x in fast) > 100
+    for t in texts:
+        assert ids(t) == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_quality_rules(docs, rows, none):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(docs).collect())
     want = Counter()
