@@ -244,10 +244,21 @@ def _sums(name, arg, env):
     if any(v.missing or isinstance(v.type, T.NullType) for v in vals):
         return _null(T.DoubleType())
     _numbers(name, vals)
-    out = vals[0].col
-    for v in vals[1:]:
-        out = out + v.col if name == "$add" else out * v.col
-    return Val(out, _wider(vals))
+    cols = list(map(_long, vals))
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c if name == "$add" else out * c
+    return Val(out, _sum_type(vals))
+
+
+def _long(v: Val) -> Column:
+    """Whole numbers as 64 bits, so that sums of 32 bits don't overflow."""
+    return v.col.cast("bigint") if isinstance(v.type, T.IntegralType) else v.col
+
+
+def _sum_type(vals: list[Val]) -> T.DataType:
+    kind = _wider(vals)
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
 
 
 def _wider(vals: list[Val]) -> T.DataType:
@@ -268,7 +279,7 @@ def _two_numbers(name, arg, env):
         return Val(F.timestamp_add("MILLISECOND", -b.col.cast("bigint"), a.col), a.type)
     _numbers(name, [a, b])
     if name == "$subtract":
-        return Val(a.col - b.col, _wider([a, b]))
+        return Val(_long(a) - _long(b), _sum_type([a, b]))
     x, y = a.col.cast("double"), b.col.cast("double")
     return Val({"$divide": lambda: x / y, "$mod": lambda: x % y, "$pow": lambda: F.pow(x, y), "$log": lambda: F.log(x) / F.log(y)}[name](), T.DoubleType())
 
@@ -283,9 +294,9 @@ def _reduced(name, arg, env):
             return literal(0) if name == "$sum" else _null(T.DoubleType())
         if name in ("$min", "$max"):
             return Val((F.least if name == "$min" else F.greatest)(*(v.col for v in vals)) if len(vals) > 1 else vals[0].col, vals[0].type)
-        total = sum((F.coalesce(v.col, F.lit(0)) for v in vals[1:]), F.coalesce(vals[0].col, F.lit(0)))
+        total = sum((F.coalesce(_long(v), F.lit(0)) for v in vals[1:]), F.coalesce(_long(vals[0]), F.lit(0)))
         n = sum((v.col.isNotNull().cast("int") for v in vals[1:]), vals[0].col.isNotNull().cast("int"))
-        return Val(total, _wider(vals)) if name == "$sum" else Val(F.when(n > 0, total / n), T.DoubleType())
+        return Val(total, _sum_type(vals)) if name == "$sum" else Val(F.when(n > 0, total / n), T.DoubleType())
     v = compile_expression(arg, env)
     if v.missing or not isinstance(v.type, T.ArrayType):
         if not v.missing and is_number(v.type):
@@ -352,8 +363,16 @@ def _cond(name, arg, env):
     return _branches([(truth(test), yes)], no)
 
 
+def _one_kind(vals: list[Val], what: str) -> None:
+    """Types are static: values of types that don't compare can't meet in one column."""
+    ranks = {rank(v.type) for v in vals if not v.missing and not isinstance(v.type, T.NullType)} - {None}
+    if len(ranks) > 1:
+        raise NotImplementedError(f"{what} of different types ({', '.join(sorted(v.type.simpleString() for v in vals if v.type))}) are not supported in one column")
+
+
 def _branches(tests: list[tuple[Column, Val]], other: Val) -> Val:
     vals = [v for _, v in tests] + [other]
+    _one_kind(vals, "branches")
     kind = next((v.type for v in vals if not v.missing and not isinstance(v.type, T.NullType)), T.NullType())
     if is_number(kind):
         kind = _wider([v for v in vals if not v.missing and is_number(v.type)])
@@ -369,7 +388,10 @@ def _if_null(name, arg, env):
     vals = [v for v in _many(arg, env) if not v.missing]
     if not vals:
         return MISSING
+    _one_kind(vals, "alternatives")
     kind = next((v.type for v in vals if not isinstance(v.type, T.NullType)), T.NullType())
+    if is_number(kind):
+        kind = _wider([v for v in vals if is_number(v.type)])
     return Val(F.coalesce(*(v.col for v in vals)), kind)
 
 
@@ -450,7 +472,10 @@ def _regex(name, arg, env):
         pattern = pattern.pattern
     if not isinstance(pattern, str) or set(options) - set("imsx"):
         raise OperationFailure("$regexMatch needs a pattern and the options i, m, s or x")
-    return Val(F.coalesce(v.col.rlike(flags(options) + pattern), F.lit(False)), T.BooleanType())
+    if rank(v.type) != 15:
+        raise OperationFailure("$regexMatch needs 'input' to be of type string")
+    found = v.col.rlike(flags(options) + pattern)
+    return Val(F.when(v.col.isNull(), F.raise_error(F.lit("$regexMatch needs 'input' to be of type string")).cast("boolean")).otherwise(found), T.BooleanType())
 
 
 _DATE = {
@@ -598,6 +623,7 @@ def _objects(name, arg, env):
         kind = t["v"].dataType if isinstance(t, T.StructType) else t.elementType
         return Val(F.map_from_entries(F.transform(v.col, pair)), T.MapType(T.StringType(), kind))
     if isinstance(v.type, T.StructType):
+        _one_kind([Val(v.col, f.dataType) for f in v.type], "members")
         entry = F.array(*(F.struct(F.lit(f.name).alias("k"), v.col.getField(f.name).alias("v")) for f in v.type))
         kind = v.type[0].dataType
         col = F.when(v.col.isNotNull(), entry)

@@ -1,8 +1,10 @@
-"""The filter language compiled to two-valued Columns (never null), so that negation is safe."""
+"""The filter language compiled to Columns. A filter may be null where it is false, so that plain comparisons reach the
+scan as they are; every negation inside makes its operand two-valued first, and so must callers that negate a filter."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +14,6 @@ from nestwright.errors import OperationFailure
 from nestwright.functions.expressions import Env, Val, compile_expression, flags, literal, rank, same, step, truth
 
 UNSUPPORTED = set("$where $text $jsonSchema $bitsAllClear $bitsAllSet $bitsAnyClear $bitsAnySet $geoIntersects $geoWithin $maxDistance $minDistance $near $nearSphere".split())
-_NO, _YES = F.lit, F.lit
 _TYPES = {"double": T.DoubleType, "string": T.StringType, "object": (T.StructType, T.MapType), "array": T.ArrayType, "binData": T.BinaryType, "bool": T.BooleanType, "date": (T.TimestampNTZType, T.TimestampType, T.DateType), "int": (T.IntegerType, T.ShortType, T.ByteType), "long": T.LongType, "decimal": T.DecimalType, "number": T.NumericType}
 
 
@@ -34,7 +35,7 @@ def compile_filter(spec: dict, env: Env) -> Column:
             one = parts[0]
             for p in parts[1:]:
                 one = one & p if key == "$and" else one | p
-            out = out & (~one if key == "$nor" else one)
+            out = out & (~sure(one) if key == "$nor" else one)
         elif key == "$expr":
             out = out & truth(compile_expression(s, env))
         elif key.startswith("$"):
@@ -58,7 +59,7 @@ def at_path(v: Val, rest: list[str], s, env: Env, below: bool = False) -> Column
             return F.lit(negative)
         each = lambda x: at_path(Val(x, v.type.elementType), rest, s, env)
         if negative:
-            return F.coalesce(F.forall(v.col, each), F.lit(True))
+            return F.coalesce(F.forall(v.col, lambda x: sure(each(x))), F.lit(True))
         if isinstance(s, dict) and set(s) == {"$exists"} and not s["$exists"]:
             return F.coalesce(F.exists(v.col, each), F.lit(True)) | sure(F.size(v.col) == 0)
         return sure(F.exists(v.col, each))
@@ -68,10 +69,19 @@ def at_path(v: Val, rest: list[str], s, env: Env, below: bool = False) -> Column
             return F.lit(negative or (isinstance(s, dict) and s.get("$exists", True) is False))
         return F.when(v.col.isNull(), F.lit(negative or (isinstance(s, dict) and s.get("$exists", True) is False))).otherwise(tested(Val(None), s, env))
     found = at_path(inner, more, s, env, True)
+    if _never_null(s):
+        return found
     # A null parent offers no candidate.
     return F.when(v.col.isNull(), F.lit(bool(negative) or (isinstance(s, dict) and s.get("$exists", True) is False))).otherwise(found)
 
 
+def _never_null(s) -> bool:
+    """Whether s can't hold for a null, so that a null parent needs no test of its own."""
+    if isinstance(s, dict):
+        return bool(s) and all(k in ("$eq", "$gt", "$gte", "$lt", "$lte") and x is not None and not isinstance(x, dict | list | tuple) or k == "$in" and None not in x for k, x in s.items())
+    return s is not None and not isinstance(s, list | tuple)
+
+
 def tested(v: Val, s, env: Env) -> Column:
     if isinstance(s, re.Pattern):
         return _search(v, s.pattern, "".join(c for c, f in (("i", re.I), ("m", re.M), ("s", re.S), ("x", re.X)) if s.flags & f))
@@ -109,7 +119,7 @@ def equal(v: Val, value) -> Column:
 def _search(v: Val, pattern: str, options: str) -> Column:
     if v.missing:
         return F.lit(False)
-    return _any(v, lambda x: sure(x.col.rlike(flags(options) + pattern)) if rank(x.type) == 15 else F.lit(False))
+    return _any(v, lambda x: x.col.rlike(flags(options) + pattern) if rank(x.type) == 15 else F.lit(False))
 
 
 def _compared(name: str, v: Val, value) -> Column:
@@ -122,7 +132,7 @@ def _compared(name: str, v: Val, value) -> Column:
             return x.col.isNull() if name in ("$gte", "$lte") else F.lit(False)
         if rank(x.type) != rank(lit.type):
             return F.lit(False)
-        return sure({"$gt": x.col > lit.col, "$gte": x.col >= lit.col, "$lt": x.col < lit.col, "$lte": x.col <= lit.col}[name])
+        return {"$gt": x.col > lit.col, "$gte": x.col >= lit.col, "$lt": x.col < lit.col, "$lte": x.col <= lit.col}[name]
 
     return one(v) if isinstance(value, list | tuple) else _any(v, one)
 
@@ -132,13 +142,12 @@ def _among(v: Val, values) -> Column:
         raise OperationFailure("$in needs a list")
     plain = [x for x in values if not isinstance(x, re.Pattern | list | tuple | dict) and x is not None]
     if not v.missing and not isinstance(v.type, T.ArrayType) and len({rank(literal(x).type) for x in plain} | {rank(v.type)}) == 1:
-        out = sure(v.col.isin(plain)) if plain else F.lit(False)
-        values = [x for x in values if x not in plain]
+        parts = [v.col.isin(plain)] if plain else []
+        values = [x for x in values if isinstance(x, re.Pattern | list | tuple | dict) or x is None]
     else:
-        out = F.lit(False)
-    for x in values:
-        out = out | (tested(v, x, None) if isinstance(x, re.Pattern) else equal(v, x))
-    return out
+        parts = []
+    parts += [tested(v, x, None) if isinstance(x, re.Pattern) else equal(v, x) for x in values]
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
 def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
@@ -147,17 +156,17 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
     if name == "$eq":
         return equal(v, arg)
     if name == "$ne":
-        return ~equal(v, arg)
+        return ~sure(equal(v, arg))
     if name in ("$gt", "$gte", "$lt", "$lte"):
         return _compared(name, v, arg)
     if name in ("$in", "$nin"):
-        return _among(v, arg) if name == "$in" else ~_among(v, arg)
+        return _among(v, arg) if name == "$in" else ~sure(_among(v, arg))
     if name == "$exists":
         return F.lit(v.missing != bool(arg))
     if name == "$not":
         if not isinstance(arg, dict | re.Pattern):
             raise OperationFailure("$not needs a regex or a document")
-        return ~tested(v, arg, env)
+        return ~sure(tested(v, arg, env))
     if name == "$regex":
         pattern, options = (arg.pattern, "i" if arg.flags & re.I else "") if isinstance(arg, re.Pattern) else (arg, "")
         return _search(v, pattern, options + spec.get("$options", ""))
@@ -208,7 +217,7 @@ def element(v: Val, spec: dict, env: Env) -> Column:
             one = parts[0]
             for p in parts[1:]:
                 one = one & p if key == "$and" else one | p
-            out = out & (~one if key == "$nor" else one)
+            out = out & (~sure(one) if key == "$nor" else one)
         elif isinstance(v.type, T.StructType | T.MapType):
             out = out & at_path(v, key.split("."), s, env)
         else:

@@ -1,4 +1,5 @@
-"""$group and $bucket: hash aggregation with partial sums; ordered accumulators sort inside the group only."""
+"""$group and $bucket: hash aggregation with partial sums. Only $push holds a whole group, which is its result; the other
+ordered accumulators keep one row, or the distinct values, of a group."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from nestwright.operators.shapes import env_of
 
 #: Accumulators whose result depends on the order of rows.
 ORDERED = {"$first", "$last", "$push", "$addToSet", "$mergeObjects"}
+#: Made of $addToSet whose result is only asked for its size.
+COUNT_SET = "$addToSet size"
 Order = list[tuple[str, bool]]
 
 
@@ -32,7 +35,37 @@ def in_order(value: Column, order: Order) -> Column:
     return F.transform(F.array_sort(rows, compare), lambda r: r["x"])
 
 
-def accumulator(name: str, arg, env: Env, order: Order) -> Column:
+def _flipped(c: Column, t: T.DataType) -> Column | None:
+    """A key that rises where c falls, with null last as it was first; None if there is none for the type."""
+    if isinstance(t, T.IntegralType):
+        less = F.bitwise_not(c)
+    elif is_number(t):
+        less = -c
+    elif isinstance(t, T.BooleanType):
+        less = ~c
+    elif isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType):
+        less = F.timestamp_diff("MICROSECOND", c.cast("timestamp_ntz"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    else:
+        return None
+    return F.struct(c.isNull().alias("no"), less.alias("x"))
+
+
+def place(order: Order, types: dict[str, T.DataType]) -> tuple[Column, bool] | None:
+    """One comparable column for the order of rows, and whether it rises; None if its keys can't be brought together."""
+    stiff = {up for c, up in order if _flipped(F.col(f"`{c}`"), types[c]) is None}
+    if len(stiff) > 1:
+        return None
+    rises = stiff.pop() if stiff else order[0][1]
+    return F.struct(*((F.col(f"`{c}`") if up == rises else _flipped(F.col(f"`{c}`"), types[c])).alias(f"p{i}") for i, (c, up) in enumerate(order))), rises
+
+
+def _truthy(v: Val) -> Column:
+    """The value, null where it is falsy."""
+    falsy = v.col == 0 if is_number(v.type) else v.col == "" if rank(v.type) == 15 else ~v.col if rank(v.type) == 40 else F.lit(False)
+    return F.when(~F.coalesce(falsy, F.lit(False)), v.col)
+
+
+def accumulator(name: str, arg, env: Env, order: Order, types: dict[str, T.DataType]) -> Column:
     if name in ("$stdDevPop", "$stdDevSamp"):
         raise NotImplementedError(f"the accumulator {name} is not supported")
     v = compile_expression(arg, env)
@@ -44,51 +77,91 @@ def accumulator(name: str, arg, env: Env, order: Order) -> Column:
         return F.coalesce(F.sum(v.col), F.lit(0).cast("bigint" if isinstance(v.type, T.IntegralType) else v.type)) if name == "$sum" else F.avg(v.col)
     if name in ("$min", "$max"):
         return (F.min if name == "$min" else F.max)(F.lit(None) if v.missing else v.col)
+    at = place(order, types) if name in ("$first", "$last", "$mergeObjects") else None
     if name in ("$first", "$last"):
         if v.missing:
             return F.max(F.lit(None))
-        if len(order) == 1:
-            return (F.min_by if (name == "$first") == order[0][1] else F.max_by)(v.col, F.col(order[0][0]))
-        return F.try_element_at(in_order(v.col, order), F.lit(1 if name == "$first" else -1))
-    if name in ("$push", "$addToSet"):
-        if v.missing:
-            return F.max(F.array().cast("array<string>"))
-        if name == "$push":
-            return in_order(v.col, order)
-        falsy = v.col == 0 if is_number(v.type) else v.col == "" if rank(v.type) == 15 else ~v.col if rank(v.type) == 40 else F.lit(False)
-        return F.array_distinct(in_order(F.when(~F.coalesce(falsy, F.lit(False)), v.col), order))
+        if at is None:
+            return F.try_element_at(in_order(v.col, order), F.lit(1 if name == "$first" else -1))
+        return (F.min_by if (name == "$first") == at[1] else F.max_by)(v.col, at[0])
+    if name == "$push":
+        return F.max(F.array().cast("array<string>")) if v.missing else in_order(v.col, order)
+    if name == COUNT_SET:
+        return F.lit(0).cast("int") if v.missing else (F.count_distinct(_truthy(v)) + F.coalesce(F.max(_truthy(v).isNull().cast("int")), F.lit(0))).cast("int")
     if name == "$mergeObjects":
         if v.missing or not isinstance(v.type, T.StructType):
             return F.max(F.lit(None))
-        each = in_order(v.col, order)
-        latest = F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(-1))
+        if at is None:
+            latest = F.try_element_at(F.filter(in_order(v.col, order), lambda x: x.isNotNull()), F.lit(-1))
+        else:
+            latest = (F.max_by if at[1] else F.min_by)(v.col, F.when(v.col.isNotNull(), at[0]))
         return F.struct(*(latest.getField(f.name).alias(f.name) for f in v.type))
     raise NotImplementedError(f"the accumulator {name} is not supported")
 
 
-def _outputs(spec: dict, env: Env, order: Order) -> list[Column]:
-    out = []
+def _sets(df: DataFrame, key: Column, spec: dict, env: Env, order: Order) -> dict[str, DataFrame]:
+    """For each $addToSet a table of __id and the distinct values in order of first appearance: grouped by value first,
+    so that a large group is never in one array."""
+    types, out = {f.name: f.dataType for f in df.schema}, {}
+    for name, acc in spec.items():
+        if not isinstance(acc, dict) or set(acc) != {"$addToSet"}:
+            continue
+        v = compile_expression(acc["$addToSet"], env)
+        if v.missing:
+            continue
+        at = place(order, types)
+        where, rises = at if at is not None else (F.struct(F.col(f"`{order[-1][0]}`")), True)
+        each = df.groupBy(key.alias("__id"), _truthy(v).alias("__v")).agg((F.min if rises else F.max)(where).alias("__p"))
+        listed = F.array_sort(F.collect_list(F.struct("__p", "__v")))
+        listed = listed if rises else F.reverse(listed)
+        out[name] = each.groupBy("__id").agg(F.transform(listed, lambda x: x["__v"]).alias(name))
+    return out
+
+
+def _outputs(df: DataFrame, spec: dict, env: Env, order: Order, sets: dict[str, DataFrame]) -> list[Column]:
+    out, types = [], {f.name: f.dataType for f in df.schema}
     for name, acc in spec.items():
         if not isinstance(acc, dict) or len(acc) != 1:
             raise OperationFailure(f"The field '{name}' must specify one accumulator")
         ((kind, arg),) = acc.items()
-        out.append(accumulator(kind, arg, env, order).alias(name))
+        if name in sets:
+            continue
+        if kind == "$addToSet":
+            out.append(F.max(F.array().cast("array<string>")).alias(name))
+        else:
+            out.append(accumulator(kind, arg, env, order, types).alias(name))
     return out
 
 
-def group(df: DataFrame, spec: dict, order: Order) -> DataFrame:
-    """$group: falsy ids make one group, also of nothing; a missing key is null. Groups come out in key order."""
+def _aggregated(df: DataFrame, key: Column | None, spec: dict, order: Order) -> DataFrame:
+    """A row per key (`__id`) with its accumulators; without a key one row, also of nothing."""
+    env, whole = env_of(df), key is None
+    key = F.lit(1) if whole else key
+    sets = _sets(df, key, spec, env, order)
+    outs = _outputs(df, spec, env, order, sets)
+    if whole:
+        made = df.agg(*(outs or [F.count("*").alias("__n")])).withColumn("__id", key)
+    else:
+        made = df.groupBy(key.alias("__id")).agg(*outs) if outs else df.select(key.alias("__id")).distinct()
+    for name, listed in sets.items():
+        none = F.array().cast(listed.schema[name].dataType)
+        made = made.join(listed.withColumnRenamed("__id", "__other"), F.col("__id").eqNullSafe(F.col("__other")), "left").drop("__other").withColumn(name, F.coalesce(F.col(f"`{name}`"), none))
+    return made
+
+
+def group(df: DataFrame, spec: dict, order: Order, by_key: bool = True) -> DataFrame:
+    """$group: falsy ids make one group, also of nothing; a missing key is null. Groups come out in key order, unless
+    nothing later asks for it."""
     if "_id" not in spec:
         raise KeyError("_id")
-    env, outs = env_of(df), _outputs({k: v for k, v in spec.items() if k != "_id"}, env_of(df), order)
+    rest = {k: v for k, v in spec.items() if k != "_id"}
     if not spec["_id"]:
-        made = df.agg(*(outs or [F.count("*").alias("__n")]))
-        return made.select(*[F.col(f"`{c}`") for c in made.columns if c != "__n"], F.lit(None).cast("string").alias("_id"))
-    v = compile_expression(spec["_id"], env)
-    key = (F.lit(None).cast("string") if v.missing else v.col).alias("_id")
-    rows = df.groupBy(key)
-    made = rows.agg(*outs) if outs else df.select(key).distinct()
-    return made.select(*(F.col(f"`{k}`") for k in spec if k != "_id"), "_id").orderBy(F.col("_id").asc_nulls_first())
+        made = _aggregated(df, None, rest, order)
+        return made.select(*(F.col(f"`{k}`") for k in rest), F.lit(None).cast("string").alias("_id"))
+    v = compile_expression(spec["_id"], env_of(df))
+    made = _aggregated(df, F.lit(None).cast("string") if v.missing else v.col, rest, order)
+    out = made.select(*(F.col(f"`{k}`") for k in rest), F.col("__id").alias("_id"))
+    return out.orderBy(F.col("_id").asc_nulls_first()) if by_key else out
 
 
 def bucket(df: DataFrame, spec: dict, order: Order) -> DataFrame:
@@ -104,13 +177,13 @@ def bucket(df: DataFrame, spec: dict, order: Order) -> DataFrame:
     env = env_of(df)
     v = compile_expression(spec["groupBy"], env)
     value = F.lit(None) if v.missing else v.col
-    place = F.lit(None).cast("int")
+    where = F.lit(None).cast("int")
     for i in range(len(bounds) - 2, -1, -1):
-        place = F.when((value >= F.lit(bounds[i])) & (value < F.lit(bounds[i + 1])), i).otherwise(place)
+        where = F.when((value >= F.lit(bounds[i])) & (value < F.lit(bounds[i + 1])), i).otherwise(where)
     if "default" not in spec:
-        place = F.coalesce(place, F.raise_error(F.lit("$bucket could not find a matching branch, and no default was specified")).cast("int"))
-    outs = _outputs(spec.get("output", {"count": {"$sum": 1}}), env, order)
-    made = df.groupBy(place.alias("__b")).agg(*outs)
+        where = F.coalesce(where, F.raise_error(F.lit("$bucket could not find a matching branch, and no default was specified")).cast("int"))
+    out = spec.get("output", {"count": {"$sum": 1}})
+    made = _aggregated(df, where, out, order).withColumnRenamed("__id", "__b")
     first = type(default) is type(bounds[0]) and default < bounds[0]
     text = "default" in spec and type(default) is not type(bounds[0])
     name = lambda x: F.lit(str(x) if text else x)  # noqa: E731  ids of two types are shown as text
@@ -118,4 +191,4 @@ def bucket(df: DataFrame, spec: dict, order: Order) -> DataFrame:
     for i, b in enumerate(bounds[:-1]):
         ids = ids.when(F.col("__b") == i, name(b))
     sort = F.col("__b").asc_nulls_first() if first else F.col("__b").asc_nulls_last()
-    return made.withColumn("_id", ids).orderBy(sort).drop("__b").select("_id", *[c for c in made.columns if c != "__b"])
+    return made.withColumn("_id", ids).orderBy(sort).select("_id", *(F.col(f"`{c}`") for c in out))

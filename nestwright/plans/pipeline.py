@@ -13,6 +13,7 @@ from nestwright.functions.expressions import Val, compile_expression
 from nestwright.functions.predicates import compile_filter
 from nestwright.operators import groups, joins, shapes
 from nestwright.operators.shapes import env_of, hidden, shown
+from nestwright.sources.shared import cut
 
 UNSUPPORTED = set("$bucketAuto $collStats $currentOp $geoNear $indexStats $listLocalSessions $listSessions $merge $planCacheStats $redact $replaceWith $sortByCount $unset".split())
 STAGES = set("$match $project $addFields $set $group $bucket $sort $limit $skip $count $unwind $lookup $graphLookup $replaceRoot $facet $sample $out".split())
@@ -32,13 +33,45 @@ def stages(pipeline: list[dict]) -> list[tuple[str, object]]:
     return out
 
 
+def reads(e) -> set[str]:
+    """Names of the fields that an expression reads; `$$ROOT` for the whole document."""
+    if isinstance(e, str) and e.startswith("$$"):
+        head, _, rest = e[2:].partition(".")
+        return ({rest.split(".")[0]} if rest else {"$$ROOT"}) if head in ("ROOT", "CURRENT") else set()
+    if isinstance(e, str) and e.startswith("$"):
+        return {e[1:].split(".")[0]}
+    if isinstance(e, dict):
+        return set().union(*(reads(x) for k, x in e.items() if k != "$literal"))
+    return set().union(*map(reads, e)) if isinstance(e, list | tuple) else set()
+
+
+def _without(field: str, stage: tuple[str | None, object]) -> bool:
+    """Whether a stage is a projection of named fields that neither keeps nor reads a field."""
+    name, spec = stage
+    if name != "$project" or not any(v not in (0, False) for k, v in spec.items() if k != "_id"):
+        return False
+    return not any(k.split(".")[0] == field for k in spec) and not reads(list(spec.values())) & {field, "$$ROOT"}
+
+
+def _sized(field: str, stage: tuple[str | None, object]) -> dict | None:
+    """The projection with the field for {$size: field}, if that is all it asks of the field; else None."""
+    name, spec = stage
+    size = {"$size": f"${field}"}
+    if name != "$project" or size not in spec.values():
+        return None
+    made = {k: f"${field}" if v == size else v for k, v in spec.items()}
+    return made if _without(field, (name, {k: v for k, v in spec.items() if v != size} | {"__size": 1})) else None
+
+
 def rewrite(plan: list[tuple[str, object]]) -> list[tuple[str, object]]:
     """$lookup that is only unwound becomes a join; one that is only asked for emptiness and then dropped, a semi or
-    anti join; a filter on other fields moves before a lookup."""
+    anti join; one that is only asked for its size, a count by key; $addToSet that is only asked for its size, a
+    distinct count. A filter on other fields moves before a lookup or an unwind."""
     out, i = [], 0
     while i < len(plan):
         name, options = plan[i]
         after = plan[i + 1] if i + 1 < len(plan) else (None, None)
+        last = plan[i + 2] if i + 2 < len(plan) else (None, None)
         if name == "$lookup" and after[0] == "$unwind":
             u = {"path": after[1]} if isinstance(after[1], str) else after[1]
             if u["path"] == f"${options['as']}" and not u.get("includeArrayIndex"):
@@ -47,14 +80,28 @@ def rewrite(plan: list[tuple[str, object]]) -> list[tuple[str, object]]:
                 continue
         if name == "$lookup" and after[0] == "$match" and isinstance(after[1], dict):
             field = options["as"]
-            test, last = after[1].get(field), plan[i + 2] if i + 2 < len(plan) else (None, None)
-            drops = last[0] == "$project" and field not in last[1] and any(v not in (0, False) for k, v in last[1].items() if k != "_id") and f"'${field}" not in repr(last[1])
-            anti = {repr([]): True, repr({"$size": 0}): True, repr({"$ne": []}): False}.get(repr(test))
-            if len(after[1]) == 1 and anti is not None and drops:
+            anti = {repr([]): True, repr({"$size": 0}): True, repr({"$ne": []}): False}.get(repr(after[1].get(field)))
+            if len(after[1]) == 1 and anti is not None and _without(field, last):
                 out.append(("semi", (options, anti)))
                 i += 2
                 continue
-            if not any(k.startswith("$") or k.split(".")[0] == field for k in after[1]):
+        if name == "$lookup" and (sized := _sized(options["as"], after)):
+            out += [("counted", options), ("$project", sized)]
+            i += 2
+            continue
+        if name == "$group" and after[0] == "$project":
+            options, project = dict(options), after[1]
+            for k, acc in options.items():
+                if k != "_id" and isinstance(acc, dict) and set(acc) == {"$addToSet"} and (sized := _sized(k, (after[0], project))):
+                    options[k], project = {groups.COUNT_SET: acc["$addToSet"]}, sized
+            out.append((name, options))
+            plan = [*plan[: i + 1], ("$project", project), *plan[i + 2 :]]
+            i += 1
+            continue
+        if name in ("$lookup", "$unwind") and after[0] == "$match" and isinstance(after[1], dict) and after[1]:
+            u = {"path": options} if isinstance(options, str) else options
+            made = {options["as"]} if name == "$lookup" else {str(u["path"])[1:].split(".")[0], u.get("includeArrayIndex")}
+            if not any(k.startswith("$") or k.split(".")[0] in made for k in after[1]):
                 out.append(after)
                 plan = [*plan[: i + 1], *plan[i + 2 :]]
                 continue
@@ -75,6 +122,16 @@ def needs_order(plan: list[tuple[str, object]]) -> bool:
     return False
 
 
+def key_order(rest: list[tuple[str, object]]) -> bool:
+    """Whether the key order of a group's rows is seen after the stages that follow it."""
+    for name, options in rest:
+        if name in ("$sort", "$count", "$sample") or name in ("$group", "$bucket") and not needs_order([(name, options)]):
+            return False
+        if name not in ("$match", "$project", "$addFields", "$set", "$unwind", "$replaceRoot", "join", "semi", "counted"):
+            return True
+    return True
+
+
 def sort_keys(df: DataFrame, spec: dict, adds: bool) -> tuple[DataFrame, list, groups.Order]:
     """Sort columns for a specification; with `adds`, hidden columns that keep the order for later stages."""
     order, keys, made = [], [], {}
@@ -103,6 +160,8 @@ def run(df: DataFrame, pipeline: list[dict], resolve: Resolve | None = None, wri
     """The pipeline's result. resolve gives other collections by name, write stores one."""
     plan = rewrite(stages(pipeline))
     numbered = needs_order(plan)
+    while numbered and plan[0][0] == "$match":  # before rows are numbered, so that the filter reaches the scan
+        df, plan = df.where(compile_filter(plan[0][1], env_of(df))), plan[1:]
     if numbered and "__seq" not in df.columns:
         df = df.withColumn("__seq", F.monotonically_increasing_id())
     order: groups.Order = [("__seq", True)]
@@ -130,7 +189,7 @@ def run(df: DataFrame, pipeline: list[dict], resolve: Resolve | None = None, wri
                 raise OperationFailure("the count field must be a plain name")
             df = df.agg(F.count("*").alias(options))
         elif name == "$group":
-            df = groups.group(df, options, order)
+            df = groups.group(df, options, order, later or key_order(plan[i + 1 :]))
         elif name == "$bucket":
             df = groups.bucket(df, options, order)
         elif name == "$replaceRoot":
@@ -145,9 +204,13 @@ def run(df: DataFrame, pipeline: list[dict], resolve: Resolve | None = None, wri
             df = joins.flat(df, options[0], resolve(options[0]["from"]), options[1])
         elif name == "semi":
             df = joins.filtered(df, options[0], resolve(options[0]["from"]), options[1])
+        elif name == "counted":
+            df = joins.counted(df, options, resolve(options["from"]))
         elif name == "$graphLookup":
             df = joins.graph_lookup(df, options, resolve(options["from"]))
         elif name == "$facet":
+            if len(options) > 1 and any(x not in ("$match", "$project") for x, _ in plan[:i]):
+                df = cut(df)  # computed once for all facets; a plain scan is left to each, with its own filters and columns
             df = _facet(df, options, resolve, write)
         elif name == "$sample":
             if set(options) != {"size"}:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ for _name, _spec, _where in (
     ("gte", {"l_quantity": {"$gte": 45}}, "l_quantity >= 45"),
     ("lt", {"l_quantity": {"$lt": 5}}, "l_quantity < 5"),
     ("lte_date", {"l_shipdate": {"$lte": datetime.datetime(1996, 1, 1)}}, "l_shipdate <= TIMESTAMP '1996-01-01'"),
-    ("type_bracket", {"l_quantity": {"$gt": "a"}}, "false"),
+    ("type_bracket", {"$or": [{"l_quantity": {"$gt": "a"}}, {"l_returnflag": {"$lt": 5}}, {"l_quantity": {"$gt": 48}}]}, "l_quantity > 48"),
     ("in", {"l_linenumber": {"$in": [1, 7]}}, "l_linenumber IN (1, 7)"),
     ("in_null", {"l_linenumber": {"$in": [1, None]}}, "l_linenumber = 1 OR l_linenumber IS NULL"),
     ("nin", {"l_linenumber": {"$nin": [1, 2, 3]}}, "l_linenumber NOT IN (1, 2, 3)"),
@@ -69,11 +70,13 @@ for _name, _spec, _where in (
     ("or", {"$or": [{"l_quantity": 1}, {"l_tax": {"$gte": 0.08}}]}, "l_quantity = 1 OR l_tax >= 0.08"),
     ("nor", {"$nor": [{"l_quantity": {"$gt": 5}}, {"l_returnflag": "R"}]}, "NOT (l_quantity > 5 OR l_returnflag = 'R')"),
     ("not", {"l_quantity": {"$not": {"$gt": 5}}}, "NOT l_quantity > 5"),
-    ("exists", {"l_tax": {"$exists": True}, "nowhere": {"$exists": False}}, "true"),
+    ("exists", {"l_tax": {"$exists": True}, "nowhere": {"$exists": False}, "l_linenumber": 4}, "l_linenumber = 4"),
+    ("exists_not", {"$or": [{"nowhere": {"$exists": True}}, {"l_tax": {"$exists": False}}, {"l_linenumber": 6}]}, "l_linenumber = 6"),
     ("missing_is_null", {"nowhere": None, "l_linenumber": 2}, "l_linenumber = 2"),
-    ("null", {"l_tax": None}, "l_tax IS NULL"),
+    ("lte", {"l_quantity": {"$lte": 4}}, "l_quantity <= 4"),
+    ("comment", {"$comment": "said, not tested", "l_linenumber": 1}, "l_linenumber = 1"),
+    ("regex_literal", {"l_linestatus": re.compile("^o", re.I)}, "regexp_matches(l_linestatus, '^o', 'i')"),
     ("regex", {"l_returnflag": {"$regex": "^[an]", "$options": "i"}}, "regexp_matches(l_returnflag, '^[an]', 'i')"),
-    ("type", {"l_quantity": {"$type": "double"}}, "l_quantity IS NOT NULL"),
     ("expr", {"$expr": {"$gt": [{"$multiply": ["$l_quantity", "$l_discount"]}, 4]}}, "l_quantity * l_discount > 4"),
     ("range", {"l_quantity": {"$gte": 10, "$lt": 12}}, "l_quantity >= 10 AND l_quantity < 12"),
 ):
@@ -100,7 +103,7 @@ add("sort_limit_topk", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1
 add("skip_limit", "orders", [{"$sort": {"o_orderkey": 1}}, {"$skip": 30}, {"$limit": 10}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30")
 add("count", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$count": "n"}], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 add("replaceroot", "nation", [{"$replaceRoot": {"newRoot": {"k": "$n_nationkey", "v": "$n_name"}}}], "SELECT n_nationkey AS k, n_name AS v FROM nation")
-add("sample_size", "orders", [{"$sample": {"size": 25}}, {"$count": "n"}], "SELECT CAST(25 AS BIGINT) AS n")
+add("sample_size", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$sample": {"size": 25}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "keys": {"$addToSet": "$o_orderkey"}}}, {"$project": {"_id": 1, "n": 1, "distinct": {"$size": "$keys"}}}], "SELECT o_orderstatus AS _id, least(count(*), 25) AS n, CAST(least(count(DISTINCT o_orderkey), 25) AS INTEGER) AS distinct FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 0 GROUP BY 1")
 add("unwind", "part", [{"$project": {"p_partkey": 1, "w": {"$split": ["$p_name", " "]}}}, {"$unwind": "$w"}], "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
 add("unwind_index", "part", [{"$project": {"p_partkey": 1, "w": {"$split": ["$p_name", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}], "SELECT p_partkey, w[i + 1] AS w, i FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), unnest(range(len(w))) t(i)")
 add("unwind_preserve", "part", [{"$project": {"p_partkey": 1, "w": {"$filter": {"input": {"$split": ["$p_name", " "]}, "cond": {"$eq": ["$$this", "ring"]}}}}}, {"$unwind": {"path": "$w", "preserveNullAndEmptyArrays": True}}], "SELECT p_partkey, CASE WHEN list_contains(string_split(p_name, ' '), 'ring') THEN 'ring' END AS w FROM part")
@@ -125,11 +128,9 @@ add("lookup_scalar", "region", [{"$lookup": _NATIONS}, {"$project": {"r_name": 1
 add("lookup_unwind_join", "orders", [{"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$project": {"o_orderkey": 1, "name": "$c.c_name"}}], "SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
 add("lookup_semi", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$ne": []}}}, {"$project": {"c_custkey": 1}}], "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 add("lookup_anti", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": []}}, {"$project": {"c_custkey": 1}}], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("lookup_anti_orders", "orders", [{"$lookup": {"from": "customer", "localField": "o_orderkey", "foreignField": "c_custkey", "as": "c"}}, {"$match": {"c": {"$size": 0}}}, {"$project": {"o_orderkey": 1, "o_custkey": 1}}], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 add("lookup_count", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$o"}}}], "SELECT c_custkey, CAST(count(o_orderkey) AS INTEGER) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
-add("lookup_local_array", "region", [{"$project": {"r_name": 1, "keys": {"$map": {"input": {"$split": ["1,2,2,40", ","]}, "in": {"$toInt": "$$this"}}}}}, {"$lookup": {"from": "nation", "localField": "keys", "foreignField": "n_nationkey", "as": "n"}}, {"$project": {"r_name": 1, "k": {"$size": "$n"}}}], "SELECT r_name, 2 AS k FROM region")
-add("graphlookup", "nation", [{"$match": {"n_nationkey": {"$lt": 3}}}, {"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "d", "maxDepth": 3}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$up"}}}], "WITH RECURSIVE r AS (SELECT a.n_nationkey AS s, b.n_nationkey AS k, b.n_regionkey AS up, 0 AS d FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey WHERE a.n_nationkey < 3 UNION SELECT s, n_nationkey, n_regionkey, d + 1 FROM r JOIN nation ON n_nationkey = up WHERE d < 3) SELECT s AS n_nationkey, CAST(count(DISTINCT k) AS INTEGER) AS n FROM r GROUP BY 1")
-# The same from every nation: the one above starts from three only. Nations that reach nothing count 0.
-add("graphlookup_whole", "nation", [{"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "d", "maxDepth": 3}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$up"}}}], "WITH RECURSIVE r AS (SELECT a.n_nationkey AS s, b.n_nationkey AS k, b.n_regionkey AS up, 0 AS d FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey UNION SELECT s, n_nationkey, n_regionkey, d + 1 FROM r JOIN nation ON n_nationkey = up WHERE d < 3) SELECT n_nationkey, CAST(count(DISTINCT k) AS INTEGER) AS n FROM nation LEFT JOIN r ON s = n_nationkey GROUP BY 1")
+add("graphlookup", "nation", [{"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "d", "maxDepth": 3}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$up"}}}], "WITH RECURSIVE r AS (SELECT a.n_nationkey AS s, b.n_nationkey AS k, b.n_regionkey AS up, 0 AS d FROM nation a JOIN nation b ON b.n_nationkey = a.n_regionkey UNION SELECT s, n_nationkey, n_regionkey, d + 1 FROM r JOIN nation ON n_nationkey = up WHERE d < 3) SELECT n_nationkey, CAST(count(DISTINCT k) AS INTEGER) AS n FROM nation LEFT JOIN r ON s = n_nationkey GROUP BY 1")
 
 # Expressions --------------------------------------------------------------------------------------
 _O, _L, _P = ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("part", "p_partkey")
@@ -144,16 +145,22 @@ for _name, (_t, _key), _e, _sql in (
     ("log", _L, {"$log": ["$l_quantity", 2]}, "round(log2(l_quantity), 4)"),
     ("sqrt", _L, {"$sqrt": "$l_quantity"}, "round(sqrt(l_quantity), 4)"),
     ("pow", _L, {"$pow": ["$l_quantity", 2]}, "round(pow(l_quantity, 2), 4)"),
-    ("divide", _L, {"$divide": ["$l_extendedprice", "$l_quantity"]}, "round(l_extendedprice / l_quantity, 4)"),
+    ("divide", _L, {"$divide": ["$l_extendedprice", "$l_quantity"]}, "l_extendedprice / l_quantity"),
     ("mod", _L, {"$mod": ["$l_orderkey", 7]}, "CAST(l_orderkey % 7 AS DOUBLE)"),
-    ("add_null", _L, {"$add": ["$l_tax", "$nowhere"]}, "CAST(NULL AS DOUBLE)"),
+    ("add_overflow", _L, {"$add": [2147483647, "$l_linenumber"]}, "2147483647 + CAST(l_linenumber AS BIGINT)"),
+    ("multiply_overflow", _L, {"$multiply": ["$l_linenumber", 2147483647]}, "2147483647 * CAST(l_linenumber AS BIGINT)"),
+    ("subtract_overflow", _L, {"$subtract": [{"$subtract": [0, 2147483647]}, "$l_linenumber"]}, "-2147483647 - CAST(l_linenumber AS BIGINT)"),
     ("subtract_dates", _O, {"$subtract": ["$o_orderdate", datetime.datetime(1995, 1, 1)]}, "date_diff('millisecond', TIMESTAMP '1995-01-01', o_orderdate)"),
     ("sum_list", _L, {"$sum": ["$l_tax", "$l_discount", "$l_returnflag"]}, "round(l_tax + l_discount, 4)"),
     ("avg_list", _L, {"$avg": ["$l_tax", "$l_discount"]}, "round((l_tax + l_discount) / 2, 4)"),
     ("max_list", _L, {"$max": ["$l_tax", "$l_discount"]}, "greatest(l_tax, l_discount)"),
     ("min_list", _L, {"$min": ["$l_tax", "$l_discount"]}, "least(l_tax, l_discount)"),
     ("eq", _O, {"$eq": ["$o_orderstatus", "F"]}, "o_orderstatus = 'F'"),
-    ("gt_cross_type", _O, {"$gt": ["$o_orderstatus", "$o_totalprice"]}, "true"),
+    ("gt_cross_type", _O, {"$and": [{"$gt": ["$o_orderstatus", "$o_totalprice"]}, {"$gt": ["$o_totalprice", 1e5]}]}, "o_totalprice > 100000"),
+    ("ne", _O, {"$ne": ["$o_orderstatus", "F"]}, "o_orderstatus <> 'F'"),
+    ("gte", _O, {"$gte": ["$o_totalprice", 1e5]}, "o_totalprice >= 100000"),
+    ("lt", _O, {"$lt": ["$o_totalprice", 1e5]}, "o_totalprice < 100000"),
+    ("lte", _O, {"$lte": ["$o_orderstatus", "O"]}, "o_orderstatus <= 'O'"),
     ("and", _L, {"$and": [{"$gt": ["$l_tax", 0.04]}, "$l_quantity"]}, "l_tax > 0.04"),
     ("or", _L, {"$or": [{"$gt": ["$l_tax", 0.04]}, "$nowhere"]}, "l_tax > 0.04"),
     ("not", _L, {"$not": {"$gt": ["$l_tax", 0.04]}}, "NOT l_tax > 0.04"),
@@ -182,8 +189,13 @@ for _name, (_t, _key), _e, _sql in (
     ("tostring", _P, {"$toString": "$p_size"}, "CAST(p_size AS VARCHAR)"),
     ("toint", _P, {"$toInt": "$p_retailprice"}, "CAST(trunc(p_retailprice) AS INTEGER)"),
     ("tolong", _P, {"$toLong": {"$toString": "$p_size"}}, "CAST(p_size AS BIGINT)"),
-    ("isnumber", _P, {"$isNumber": "$p_size"}, "true"),
-    ("isarray", _P, {"$isArray": "$p_size"}, "false"),
+    ("todecimal", _P, {"$toString": {"$toDecimal": "$p_size"}}, "CAST(CAST(p_size AS DECIMAL(38, 14)) AS VARCHAR)"),
+    ("first", _P, {"$first": {"$split": ["$p_name", " "]}}, "string_split(p_name, ' ')[1]"),
+    ("last", _P, {"$last": {"$split": ["$p_name", " "]}}, "string_split(p_name, ' ')[-1]"),
+    ("objecttoarray_values", _P, {"$let": {"vars": {"o": {"$objectToArray": {"a": "$p_name", "b": "$p_type"}}}, "in": {"$arrayElemAt": [{"$map": {"input": "$$o", "in": {"$concat": ["$$this.k", "=", "$$this.v"]}}}, 1]}}}, "'b=' || p_type"),
+    ("arraytoobject", _P, {"$let": {"vars": {"o": {"$arrayToObject": {"$objectToArray": {"a": "$p_name", "b": "$p_type"}}}}, "in": "$$o.b"}}, "p_type"),
+    ("let_nested", _P, {"$let": {"vars": {"x": "$p_size"}, "in": {"$let": {"vars": {"y": {"$add": ["$$x", 1]}}, "in": {"$multiply": ["$$x", "$$y"]}}}}}, "CAST(p_size AS BIGINT) * (p_size + 1)"),
+    ("root", _P, {"$concat": ["$$ROOT.p_name", "$$CURRENT.p_type"]}, "p_name || p_type"),
 ):
     _round = _sql.startswith("round(")
     add(f"expr_{_name}", _t, [{"$project": {_key: 1, "x": _e}}], f"SELECT {_key}, {_sql} AS x FROM {_t}", _rounded("x") if _round else None)
@@ -200,7 +212,7 @@ for _name, _e, _sql in (
 
 
 # Collections --------------------------------------------------------------------------------------
-def _collection(name: str, table: str, call, sql: str) -> None:
+def collection(name: str, table: str, call, sql: str) -> None:
     """A query over a collection that holds a table; `call` gets the collection and returns a DataFrame."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,18 +236,20 @@ def _after(change):
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 _CUSTOMERS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
-_collection("find_filter_project", "orders", lambda c: c.find({"o_totalprice": {"$gt": 100000}}, ["o_orderkey", "o_totalprice"]).df, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
-_collection("find_exclude", "orders", lambda c: c.find({"o_orderstatus": "F"}, {"o_orderdate": 0, "o_orderpriority": 0}).df, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
-_collection("find_sort_skip_limit", "orders", lambda c: c.find({}, ["o_orderkey", "o_custkey"]).sort([("o_custkey", -1), ("o_orderkey", 1)]).skip(10).limit(25).df, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25 OFFSET 10")
-_collection("find_negative_limit", "orders", lambda c: c.find({}, ["o_orderkey"]).sort("o_orderkey").limit(-7).df, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
-_collection("distinct", "lineitem", lambda c: c.distinct_df("l_shipdate", {"l_quantity": {"$lt": 20}}), "SELECT DISTINCT l_shipdate AS value FROM lineitem WHERE l_quantity < 20")
-_collection("distinct_array", "embeddings", lambda c: c.distinct_df("embedding", {"label": 1}), "SELECT DISTINCT unnest(embedding) AS value FROM embeddings WHERE label = 1")
-_collection("update_many_set_inc", "orders", _after(lambda c: c.update_many({"o_orderstatus": "O"}, {"$set": {"o_orderpriority": "none"}, "$inc": {"o_custkey": 5}})), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey + 5 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderstatus = 'O' THEN 'none' ELSE o_orderpriority END AS o_orderpriority FROM orders")
-_collection("update_min_max", "customer", _after(lambda c: c.update_many({"c_nationkey": {"$lt": 12}}, {"$max": {"c_acctbal": 1000.0}, "$min": {"c_nationkey": 4}})), "SELECT c_custkey, c_name, CASE WHEN c_nationkey < 12 THEN least(c_nationkey, 4) ELSE c_nationkey END AS c_nationkey, CASE WHEN c_nationkey < 12 THEN greatest(c_acctbal, 1000) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
-_collection("update_unset_rename", "customer", _after(lambda c: c.update_many({"c_acctbal": {"$lt": 0}}, {"$unset": {"c_name": ""}, "$rename": {"c_mktsegment": "segment"}})), "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS segment FROM customer")
-_collection("update_arrays", "embeddings", lambda c: (c.update_many({"label": 2}, {"$push": {"embedding": {"$each": [0.5], "$position": 0, "$slice": 3}}}), c.update_many({"label": 3}, {"$pop": {"embedding": 1}})) and c.aggregate_df([{"$project": {"vec_id": 1, "n": {"$size": "$embedding"}}}]), "SELECT vec_id, CAST(CASE label WHEN 2 THEN 3 WHEN 3 THEN len(embedding) - 1 ELSE len(embedding) END AS INTEGER) AS n FROM embeddings")
-_collection("replace_one", "region", _after(lambda c: c.replace_one({"r_regionkey": 2}, {"r_name": "replaced"})), "SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END AS r_regionkey, CASE WHEN r_regionkey = 2 THEN 'replaced' ELSE r_name END AS r_name FROM region")
-_collection("delete_many", "orders", _after(lambda c: c.delete_many({"o_orderdate": {"$lt": datetime.datetime(1997, 1, 1)}})), f"SELECT {_ORDERS} FROM orders WHERE NOT o_orderdate < TIMESTAMP '1997-01-01'")
-_collection("insert_df", "customer", _after(lambda c: c.insert_df(c.find({"c_nationkey": 3}).df)), f"SELECT {_CUSTOMERS} FROM customer UNION ALL SELECT {_CUSTOMERS} FROM customer WHERE c_nationkey = 3")
-_collection("expiry", "events", lambda c: (c.create_index("ts", expireAfterSeconds=0), c.find({}, ["event_id"]).df)[1], "SELECT event_id FROM events WHERE NOT ts <= TIMESTAMP '2000-01-01'")
-_collection("map_reduce", "lineitem", lambda c: c.map_reduce(lambda d: [(d["l_returnflag"], d["l_linenumber"])], lambda k, v: sum(v), "sums", "bigint").find().df, "SELECT l_returnflag AS _id, CAST(sum(l_linenumber) AS BIGINT) AS value FROM lineitem GROUP BY 1")
+collection("find_filter_project", "orders", lambda c: c.find({"o_totalprice": {"$gt": 100000}}, ["o_orderkey", "o_totalprice"]).df, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+collection("find_exclude", "orders", lambda c: c.find({"o_orderstatus": "F"}, {"o_orderdate": 0, "o_orderpriority": 0}).df, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+collection("find_sort_skip_limit", "orders", lambda c: c.find({}, ["o_orderkey", "o_custkey"]).sort([("o_custkey", -1), ("o_orderkey", 1)]).skip(10).limit(25).df, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25 OFFSET 10")
+collection("find_negative_limit", "orders", lambda c: c.find({}, ["o_orderkey"]).sort("o_orderkey").limit(-7).df, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
+collection("distinct", "lineitem", lambda c: c.distinct_df("l_shipdate", {"l_quantity": {"$lt": 20}}), "SELECT DISTINCT l_shipdate AS value FROM lineitem WHERE l_quantity < 20")
+collection("distinct_array", "embeddings", lambda c: c.distinct_df("embedding", {"label": 1}), "SELECT DISTINCT unnest(embedding) AS value FROM embeddings WHERE label = 1")
+collection("update_many_set_inc", "orders", _after(lambda c: c.update_many({"o_orderstatus": "O"}, {"$set": {"o_orderpriority": "none"}, "$inc": {"o_custkey": 5}})), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey + 5 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderstatus = 'O' THEN 'none' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+collection("update_min_max", "customer", _after(lambda c: c.update_many({"c_nationkey": {"$lt": 12}}, {"$max": {"c_acctbal": 1000.0}, "$min": {"c_nationkey": 4}})), "SELECT c_custkey, c_name, CASE WHEN c_nationkey < 12 THEN least(c_nationkey, 4) ELSE c_nationkey END AS c_nationkey, CASE WHEN c_nationkey < 12 THEN greatest(c_acctbal, 1000) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+collection("update_unset_rename", "customer", _after(lambda c: c.update_many({"c_acctbal": {"$lt": 0}}, {"$unset": {"c_name": ""}, "$rename": {"c_mktsegment": "segment"}})), "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS segment FROM customer")
+collection("update_arrays", "embeddings", lambda c: (c.update_many({"label": 2}, {"$push": {"embedding": {"$each": [0.5], "$position": 0, "$slice": 3}}}), c.update_many({"label": 3}, {"$pop": {"embedding": 1}})) and c.aggregate_df([{"$project": {"vec_id": 1, "n": {"$size": "$embedding"}}}]), "SELECT vec_id, CAST(CASE label WHEN 2 THEN 3 WHEN 3 THEN len(embedding) - 1 ELSE len(embedding) END AS INTEGER) AS n FROM embeddings")
+collection("replace_one", "region", _after(lambda c: c.replace_one({"r_regionkey": 2}, {"r_name": "replaced"})), "SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END AS r_regionkey, CASE WHEN r_regionkey = 2 THEN 'replaced' ELSE r_name END AS r_name FROM region")
+collection("delete_many", "orders", _after(lambda c: c.delete_many({"o_orderdate": {"$lt": datetime.datetime(1997, 1, 1)}})), f"SELECT {_ORDERS} FROM orders WHERE NOT o_orderdate < TIMESTAMP '1997-01-01'")
+collection("insert_df", "customer", _after(lambda c: c.insert_df(c.find({"c_nationkey": 3}).df)), f"SELECT {_CUSTOMERS} FROM customer UNION ALL SELECT {_CUSTOMERS} FROM customer WHERE c_nationkey = 3")
+collection("expiry", "events", lambda c: (c.create_index("ts", expireAfterSeconds=0), c.find({}, ["event_id"]).df)[1], "SELECT event_id FROM events WHERE NOT ts <= TIMESTAMP '2000-01-01'")
+collection("map_reduce", "lineitem", lambda c: c.map_reduce(lambda d: [(d["l_returnflag"], d["l_linenumber"])], lambda k, v: sum(v), "sums", "bigint").find().df, "SELECT l_returnflag AS _id, CAST(sum(l_linenumber) AS BIGINT) AS value FROM lineitem GROUP BY 1")
+
+from nestwright.plans import edge_queries  # noqa: E402, F401  registers its own

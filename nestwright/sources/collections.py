@@ -357,6 +357,8 @@ class Collection:
         if index.get("partialFilterExpression"):
             df = df.where(compile_filter(index["partialFilterExpression"], env))
         df = df.withColumns({f"__u{i}": F.lit(None) if v.missing else v.col for i, v in enumerate(vals)})
+        if keys == ["_id"]:  # rows of a loaded table may have none
+            df = df.where(F.col("__u0").isNotNull())
         if index.get("sparse"):
             df = df.where(F.coalesce(*(F.when(F.col(f"__u{i}").isNotNull(), 1) for i in range(len(keys)))).isNotNull())
         return df
@@ -445,7 +447,7 @@ class Collection:
         if self._df is None:
             return UpdateResult(0, 0)
         df = self._numbered()
-        match = compile_filter(filter_, env_of(df))
+        match = sure(compile_filter(filter_, env_of(df)))
         if seq is None and not multi:
             seq = df.where(match).agg(F.min("__seq")).first()[0]
             if seq is None:
@@ -498,7 +500,7 @@ class Collection:
         _starts(replacement, False)
 
         def changes(df: DataFrame, match: Column, state: dict[str, Val]) -> dict[str, Val]:
-            if "_id" in replacement and df.where(match).where(~compile_filter({"_id": replacement["_id"]}, env_of(df))).limit(1).count():
+            if "_id" in replacement and df.where(match).where(~sure(compile_filter({"_id": replacement["_id"]}, env_of(df)))).limit(1).count():
                 raise WriteError("the field _id can't be changed")
             state = {n: Val(F.when(~match, v.col), v.type) if n != "_id" else v for n, v in state.items()}
             sets = {k: v for k, v in replacement.items() if k != "_id"}
@@ -518,7 +520,7 @@ class Collection:
         if self._df is None:
             return DeleteResult(0)
         df = self._numbered()
-        match = compile_filter(filter_, env_of(df))
+        match = sure(compile_filter(filter_, env_of(df)))
         if seq is None and not multi:
             seq = df.where(match).agg(F.min("__seq")).first()[0]
             if seq is None:
