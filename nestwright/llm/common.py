@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 500_000
-#: Shuffle files of a finished write go at once instead of with the driver's next garbage collection.
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: texts are long, so fewer to an Arrow batch; shuffle files of the finished write go
+#: at once instead of with the driver's next garbage collection.
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (a single machine)."""
+    """The folder in spark.checkpoint.dir; one of our own where none is set, on a single machine only."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="nestwright-")
         atexit.register(shutil.rmtree, path, True)
         sc.setCheckpointDir(path)
@@ -36,32 +40,71 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/nestwright-{sc.applicationId}"
 
 
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """_WRITING, and afterwards what was there."""
+    was = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Tables written inside each open scratch(), innermost last.
+_written: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and no executor owns the rows."""
-    path, conf = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
-    was = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    with _settings(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(_CLEANUP, was)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _written:
+        _written[-1].append(out)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(*written: DataFrame) -> None:
     """Deletes tables that materialize() wrote, once what was made of them is written too."""
     for df in written:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+        for made in _written:
+            made[:] = [x for x in made if x is not df]
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """At its end the tables that were written inside go, but for those put into the list it gives; an enclosing
+    scratch() has these."""
+    keep: list[DataFrame] = []
+    _written.append([])
+    try:
+        yield keep
+    finally:
+        made = _written.pop()
+        release(*(x for x in made if not any(x is k for k in keep)))
+        if _written:
+            _written[-1] += [x for x in made if any(x is k for k in keep)]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this application in the shared folder; results that read them can't be computed after."""
+    _delete(spark, shared_dir(spark))
 
 
 def void_safe(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, of these types, so that other columns can't clash with an operator's own."""
-    have, conf = set(df.columns), df.sparkSession.conf
-    if conf.get(_BATCH, "10000") == "10000":  # texts are long: ten thousand in a batch are much memory on both sides
-        conf.set(_BATCH, "1000")
+    have = set(df.columns)
     return df.select(*((F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
 
 
@@ -71,6 +114,27 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(t), F.xxhash64(F.lit(0x5EED), t)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with every column in `row`, beside the names of its rows, so that no column of docs can clash."""
+    h1, h2 = text_key(F.col("text").cast("string"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), h1.alias("h1"), h2.alias("h2"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Keys for `packed` rows: k_id, k_h1, k_h2 from doc_id, h1, h2."""
+    return rows.select(F.col("doc_id").alias("k_id"), F.col("h1").alias("k_h1"), F.col("h2").alias("k_h2"), *(c for c in rows.columns if c not in ("doc_id", "h1", "h2")))
+
+
+def met() -> Column:
+    return F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2"))
+
+
+def by(df: DataFrame, *keys: str):
+    """groupBy(keys) by their struct `key`. A join of the result with df on the keys then deals both sides out anew, so
+    that adaptive execution can split a key that holds many rows; after a plain groupBy it can't."""
+    return df.groupBy(F.struct(*keys).alias("key"))
+
+
 # Arrow batches ---------------------------------------------------------------------------------
 
 

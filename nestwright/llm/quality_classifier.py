@@ -117,6 +117,11 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     """Learns from every labelled document that is not held out."""
+    with C.scratch():
+        return _fitted(docs, labels, target)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, target: str) -> Model:
     known = C.void_safe(labels, {"doc_id": "bigint", target: "int"}).where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("y"))
     measured = C.void_safe(docs, {"doc_id": "bigint", "text": "string"}).where(~held_out()).mapInArrow(_measure, "doc_id bigint, x array<float>")
     learnt = C.materialize(measured.join(known, "doc_id").select("x", "y"))
