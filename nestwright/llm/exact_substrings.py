@@ -1,35 +1,44 @@
 """Exact substring dedup by refining q-gram buckets.
 
-Every byte that a 400-byte string covers which also starts elsewhere (same document or another) is removed. The suffixes
-to sort are thinned first: each 400-byte window names its least q-gram (by hash, leftmost), so equal windows name the
-same q-gram at the same distance, and all windows that name one q-gram occurrence form one run around it. A run's
-q-gram is its initial bucket. Buckets are then refined by identifiers of what stands at earlier and later offsets
-from the q-gram, each level reusing what the level before has settled:
-
-1. the whole run: equal runs are repeated in all their windows; a bucket with one run holds no repeat;
-2. blocks of 16 windows: a block whose bytes occur twice is repeated, one whose common core occurs once is not;
-3. single windows of the blocks still open.
-
-Identifiers are 128-bit digests, so no group of positions is ever collected: every level is a count and a join. Only
-runs that share a bucket with a different run carry bytes past the first level.
+Every byte that a 400-byte string covers which also starts elsewhere (same document or another) is removed. A pointer
+stands for a 400-byte window. Each window names its least q-gram (by hash, leftmost), so equal windows name the same
+q-gram at the same distance: a window's pointer is the place of its q-gram and that distance, its initial bucket is the
+q-gram, and windows that follow each other and name one occurrence are one run. Runs that are equal as a whole need no
+refinement: one of each kind goes on, with their number.
+
+Refinement is recursive. A node is a range of distances in one run (at first all of them, then WIDTHS at a time, at last
+one). All its windows share a core around the q-gram, and the bucket identifier of a node is that of its core: the
+identifier of the bucket that it comes from, joined with what stands at the offsets right after and right before that
+bucket's core. So every step compares only the bytes that it adds and reuses the bucket that the step before has found.
+Nodes are sorted into the new buckets by a shuffle on those identifiers. A bucket of one node in one copy is settled, as
+nothing else holds any of its windows; so are nodes whose whole bytes occur twice, all of whose windows are repeated
+(one of them stays as a witness while its bucket holds others). The rest is refined again. Identifiers are 128-bit
+digests of (bucket, later bytes, earlier bytes) where one machine would number the sorted pairs, so no bucket is ever
+gathered in a task, however many pointers it has: every step is a count and a join.
+
+Narrower windows come first: a 400-byte string that starts twice lies inside strings of `narrow` bytes that do, so the
+wide windows are looked for only in what the narrow ones cover. Those bytes are reported beside the removed ones.
 
 Null and empty texts, and texts under 400 bytes, lose nothing. Repeated rows are copies of each other and lose all
-that a window covers. Ids may be null; other columns are ignored.
+that a window covers. Ids may be null; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestwright.llm import common as C
 
-WINDOW, QGRAM, BLOCK = 400, 32, 16
+WINDOW, NARROW, QGRAM = 400, 256, 32
+#: Distances that nodes hold together, refinement by refinement.
+WIDTHS = (64, 8, 1)
 _KEY = ("doc_id", "h1", "h2")
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -83,15 +92,25 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def _runs(window: int):
+    """Runs of windows: of whole texts, or only of their `ranges` of bytes where the batches have some."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in C.sliced(batches):
+            owner, base = np.arange(len(batch)), np.zeros(len(batch), np.int64)
+            if "ranges" in batch.schema.names:
+                listed = batch.column("ranges")
+                flat = listed.flatten()
+                lo, hi = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "hi"))
+                owner, base = np.repeat(owner, np.diff(np.asarray(listed.offsets))), lo
+                data = np.concatenate([data[x:y] for x, y in zip((offsets[owner] + lo).tolist(), (offsets[owner] + hi).tolist(), strict=True)]) if len(lo) else data[:0]
+                offsets = np.append(0, np.cumsum(hi - lo))
             first, last, place, bucket = window_runs(data, offsets, window)
             if not len(first):
                 continue
             f = _digests(data, first, last + window)
-            doc = np.searchsorted(offsets, first, "right") - 1
-            base, at = offsets[doc], pa.array(doc)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _KEY), *(pa.array((x - base).astype(np.int32)) for x in (first, last, place)), pa.array(bucket), pa.array(f[:, 0]), pa.array(f[:, 1])], [*_KEY, "s0", "s1", "place", "bucket", "f0", "f1"])
+            part = np.searchsorted(offsets, first, "right") - 1
+            back, at = base[part] - offsets[part], pa.array(owner[part])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _KEY), *(pa.array((x + back).astype(np.int32)) for x in (first, last, place)), pa.array(bucket), pa.array(f[:, 0]), pa.array(f[:, 1])], [*_KEY, "s0", "s1", "place", "bucket", "f0", "f1"])
 
     return run
 
@@ -110,115 +129,148 @@ def _bytes(window: int):
     return run
 
 
-def _blocks(window: int):
-    """Distances r of a window's start before the q-gram, in aligned blocks: id, n, lo, hi, digests of all bytes and of the core."""
+_NODES = "id bigint, n bigint, witness boolean, lo int, hi int, b0 bigint, b1 bigint, u0 bigint, u1 bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lo, hi, digests = [], [], [], []
-            digest = xxhash.xxh3_128_digest
-            for i, held, s0, s1, place in zip(*(batch.column(c).to_pylist() for c in ("id", "bytes", "s0", "s1", "place")), strict=True):
-                view, far, near = memoryview(held), place - s0, place - s1
-                for b in range(near // BLOCK, far // BLOCK + 1):
-                    r0, r1 = max(near, b * BLOCK), min(far, b * BLOCK + BLOCK - 1)
-                    core = far - b * BLOCK
-                    ids.append(i), lo.append(r0), hi.append(r1)
-                    digests += [digest(view[far - r1 : far - r0 + window]), digest(view[core : core - BLOCK + 1 + window])]
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *(pa.array(d[:, j]) for j in range(4))], ["id", "lo", "hi", "u0", "u1", "c0", "c1"])
 
-    return run
+def _refined(window: int, wide: int, width: int):
+    """Nodes `width` wide from nodes `wide` wide (0: all distances): id and n of the run, whether all its windows are
+    known to be repeated, the range of distances, and identifiers of the core and of all bytes."""
+    most, digest = window - QGRAM, xxhash.xxh3_128_digest
 
+    def core(lo: int, step: int) -> tuple[int, int]:
+        """Least and largest distance of the whole node that a distance falls in."""
+        at = lo // step * step if step else 0
+        return at, min(at + step - 1, most) if step else most
 
-def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, place, digests = [], [], []
-            digest = xxhash.xxh3_128_digest
-            for i, held, far, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("id", "bytes", "far", "lo", "hi")), strict=True):
+            rows, ids = [], []
+            for i, held, far, nodes in zip(*(batch.column(c).to_pylist() for c in ("id", "bytes", "far", "nodes")), strict=True):
                 view = memoryview(held)
-                for r in range(lo, hi + 1):
-                    ids.append(i), place.append(r), digests.append(digest(view[far - r : far - r + window]))
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["id", "r", "w0", "w1"])
+                for node in nodes:
+                    above, (p0, p1) = struct.pack("<qq", node["b0"], node["b1"]), core(node["lo"], wide)
+                    lo = node["lo"]
+                    while lo <= node["hi"]:
+                        c0, c1 = core(lo, width)
+                        hi = min(c1, node["hi"])
+                        # Offsets are counted in the held bytes; the q-gram stands at `far`.
+                        bucket = digest(b"".join((above, struct.pack("<i", c0), view[far - p1 + window : far - c1 + window], view[far - c0 : far - p0])) if p1 - p0 != c1 - c0 else above)
+                        whole = bucket if lo == hi == c0 == c1 else digest(b"".join((bucket, struct.pack("<ii", lo, hi), view[far - c1 + window : far - lo + window], view[far - hi : far - c0])))
+                        rows.append((i, node["n"], node["witness"], lo, hi))
+                        ids += [bucket, whole]
+                        lo = hi + 1
+            d = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 4)
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *(pa.array(d[:, j]) for j in range(4))], ["id", "n", "witness", "lo", "hi", "b0", "b1", "u0", "u1"])
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), ranges (lo, hi: bytes that repeated windows cover; ranges may overlap)."""
-    keyed = _keyed(docs)
-    runs = C.materialize(keyed.mapInArrow(_runs(window), "doc_id bigint, h1 bigint, h2 bigint, s0 int, s1 int, place int, bucket bigint, f0 bigint, f1 bigint"))
+def refined(held: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
+    """id, lo, hi: distances whose windows occur twice, from runs (id, n copies, bytes, bucket, near, far distance)."""
+    root = F.struct(F.col("near").alias("lo"), F.col("far").alias("hi"), "n", (F.col("n") > 1).alias("witness"), F.col("bucket").alias("b0"), F.lit(0).cast("bigint").alias("b1"))
+    bytes_, todo = held.select("id", "bytes", "far"), held.select("id", "bytes", "far", F.array(root).alias("nodes"))
+    found, old = [], []
+    for wide, width in zip((0, *widths), widths, strict=False):
+        nodes = C.materialize(todo.mapInArrow(_refined(window, wide, width), _NODES))
+        C.release(*old)
+        # Nodes that are equal in all bytes are one from here on; two of them are repeated in all their windows.
+        kinds = C.materialize(nodes.groupBy("b0", "b1", "u0", "u1").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("x"), F.max("witness").alias("witness")))
+        twice = kinds.where("n > 1").select("u0", "u1")
+        found.append(C.materialize(nodes.where("not witness").join(twice, ["u0", "u1"], "left_semi").select("id", "lo", "hi")))
+        C.release(nodes)
+        # A bucket is refined if it holds several kinds of node and one of them isn't settled.
+        go = C.by(kinds, "b0", "b1").agg(F.count("*").alias("several"), F.min(F.col("witness") | (F.col("n") > 1)).alias("settled")).where("several > 1 and not settled").select("key.b0", "key.b1")
+        onward = kinds.join(go, ["b0", "b1"], "left_semi").select("x.id", F.struct("x.lo", "x.hi", "n", (F.col("witness") | (F.col("n") > 1)).alias("witness"), "b0", "b1").alias("node"))
+        # At most a window's distances in one run.
+        todo = bytes_.join(onward.groupBy("id").agg(F.collect_list("node").alias("nodes")), "id")
+        old = [kinds]
+    C.release(*old)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def repeated_ranges(keyed: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, inside: DataFrame | None = None) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), ranges (lo, hi: maximal runs of bytes that repeated windows cover). keyed
+    has doc_id, h1, h2, text; inside, if given, has ranges of documents outside of which nothing is looked for."""
+    looked = keyed if inside is None else _met(keyed, inside, ["ranges"], "inner")
+    runs = C.materialize(looked.mapInArrow(_runs(window), "doc_id bigint, h1 bigint, h2 bigint, s0 int, s1 int, place int, bucket bigint, f0 bigint, f1 bigint"))
     kinds = C.materialize(runs.groupBy("bucket", "f0", "f1").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*_KEY, "s0", "s1", "place"))))
-    # Level 1: equal runs.
-    equal = runs.join(kinds.where("n > 1").select("bucket", "f0", "f1"), ["bucket", "f0", "f1"], "left_semi").select(*_KEY, F.col("s0").alias("lo"), (F.col("s1") + window).alias("hi"))
+    equal = C.materialize(runs.join(kinds.where("n > 1").select("bucket", "f0", "f1"), ["bucket", "f0", "f1"], "left_semi").select(*_KEY, F.col("s0").alias("lo"), (F.col("s1") + window).alias("hi")))
+    C.release(runs)
     # Buckets with different runs: one run of each kind goes on, with its bytes.
-    several = kinds.groupBy("bucket").count().where("count > 1").select("bucket")
+    several = C.by(kinds, "bucket").count().where("count > 1").select("key.bucket")
     open_ = C.materialize(kinds.join(several, "bucket", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    C.release(kinds)
     of_doc = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("id", "s0", "s1")).alias("runs"))  # at most a document's length
-    met = _met(keyed, of_doc, "runs", "inner")
+    met = _met(keyed, of_doc, ["runs"], "inner")
     held = met.select("text", "runs").mapInArrow(_bytes(window), "id bigint, bytes binary").dropDuplicates(["id"])
-    held = C.materialize(held.join(open_.select("id", "n", *_KEY, "s0", "s1", "place"), "id"))
-    # Level 2: blocks of windows.
-    blocks = C.materialize(held.select("id", "bytes", "s0", "s1", "place").mapInArrow(_blocks(window), "id bigint, lo int, hi int, u0 bigint, u1 bigint, c0 bigint, c1 bigint").join(open_.select("id", "n"), "id"))
-    same = blocks.groupBy("u0", "u1").agg(F.sum("n").alias("n")).where("n > 1").select("u0", "u1", F.lit(True).alias("same"))
-    cores = blocks.groupBy("c0", "c1").agg(F.sum("n").alias("n")).where("n > 1").select("c0", "c1")
-    judged = C.materialize(blocks.join(cores, ["c0", "c1"], "left_semi").join(same, ["u0", "u1"], "left").select("id", "n", "lo", "hi", "c0", "c1", F.coalesce("same", F.lit(False)).alias("same")))
-    # Level 3: windows of open blocks.
-    far = held.select("id", "bytes", (F.col("place") - F.col("s0")).alias("far"))
-    single = judged.where("not same").join(far, "id").select("id", "bytes", "far", "lo", "hi").mapInArrow(_windows(window), "id bigint, r int, w0 bigint, w1 bigint")
-    single = C.materialize(single.join(open_.select("id", "n"), "id"))
-    # An equal block elsewhere may hold the window too: those with the core of an open block count with the rest.
-    cores = judged.where("not same").select("c0", "c1").distinct()
-    closed = judged.where("same").join(cores, ["c0", "c1"], "left_semi").join(far, "id").select("id", "bytes", "far", "lo", "hi").mapInArrow(_windows(window), "id bigint, r int, w0 bigint, w1 bigint")
-    wanted = single.select("w0", "w1").distinct()
-    others = closed.join(wanted, ["w0", "w1"], "left_semi").select("w0", "w1", F.lit(1).cast("bigint").alias("n"))
-    twice = single.select("w0", "w1", "n").unionByName(others).groupBy("w0", "w1").agg(F.sum("n").alias("m")).where("m > 1").select("w0", "w1")
-    hits = single.join(twice, ["w0", "w1"], "left_semi").select("id", F.col("r").alias("lo"), F.col("r").alias("hi"))
-    found = judged.where("same").select("id", "lo", "hi").unionByName(hits)
+    held = C.materialize(held.join(open_.select("id", "n", "bucket", (F.col("place") - F.col("s1")).alias("near"), (F.col("place") - F.col("s0")).alias("far")), "id"))
+    found = refined(held, window, widths)
     ranges = found.join(open_.select("id", *_KEY, "place"), "id").select(*_KEY, (F.col("place") - F.col("hi")).alias("lo"), (F.col("place") - F.col("lo") + window).alias("hi"))
-    of_doc = C.materialize(equal.unionByName(ranges).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))  # at most a document's length
-    C.release(runs, kinds, open_, held, blocks, judged, single)
+    listed = equal.unionByName(ranges).groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))  # at most a document's length
+    of_doc = C.materialize(listed.select(*_KEY, joined_ranges(F.col("ranges")).alias("ranges")))
+    C.release(equal, open_, held, found)
     return of_doc
 
 
+def joined_ranges(ranges: Column) -> Column:
+    """Maximal ranges from sorted ones that may touch or overlap."""
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+
+    def add(s: Column, r: Column) -> Column:
+        goes_on = s["hi"].isNotNull() & (r["lo"] <= s["hi"])
+        done = F.when(goes_on | s["hi"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))))
+        return F.struct(done.alias("done"), F.when(goes_on, s["lo"]).otherwise(r["lo"]).alias("lo"), F.when(goes_on, F.greatest(s["hi"], r["hi"])).otherwise(r["hi"]).alias("hi"))
+
+    return F.aggregate(ranges, start, add, lambda s: F.when(s["hi"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
     h1, h2 = C.text_key(F.col("text"))
     return rows.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
 
 
-def _met(keyed: DataFrame, of_doc: DataFrame, column: str, how: str) -> DataFrame:
+def _met(keyed: DataFrame, of_doc: DataFrame, columns: list[str], how: str) -> DataFrame:
     d, o = keyed.alias("d"), of_doc.alias("o")
     on = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h1") == F.col("o.h1")) & (F.col("d.h2") == F.col("o.h2"))
-    return d.join(o, on, how).select("d.doc_id", "d.text", f"o.{column}")
+    return d.join(o, on, how).select("d.*", *(f"o.{c}" for c in columns))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    spans = lambda ranges: [{"start": r["lo"], "end": r["hi"]} for r in ranges or ()]
     for batch, data, offsets in C.sliced(batches):
         size, removed, kept = [], [], []
         for i, ranges in enumerate(batch.column("ranges").to_pylist()):
             own = data[offsets[i] : offsets[i + 1]].tobytes()
-            spans: list[list[int]] = []
-            for a, b in sorted((r["lo"], r["hi"]) for r in ranges or ()):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-            cuts = [0, *(x for s in spans for x in s), len(own)]
-            size.append(len(own)), removed.append([{"start": a, "end": b} for a, b in spans])
+            removed.append(spans(ranges))
+            cuts = [0, *(x for s in removed[-1] for x in (s["start"], s["end"])), len(own)]
+            size.append(len(own))
             kept.append(b"".join(own[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        near = [spans(r) for r in batch.column("narrow").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary()), pa.array(near, spans_type)], ["doc_id", "n_bytes", "removed", "kept", "repeated"])
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, removed (maximal byte runs taken out), kept (the bytes left; cuts may fall inside a character)."""
-    met = _met(_keyed(docs), repeated_ranges(docs, window), "ranges", "left")
-    return met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint, end:bigint>>, kept binary")
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, narrow: int = NARROW) -> DataFrame:
+    """doc_id, n_bytes, removed (maximal byte runs taken out), kept (the bytes left; cuts may fall inside a character),
+    repeated (maximal byte runs that strings of `narrow` bytes cover which also start elsewhere; not taken out)."""
+    if not QGRAM < narrow <= window:
+        raise ValueError(f"narrow is more than {QGRAM} and at most window")
+    keyed = _keyed(docs)
+    small = repeated_ranges(keyed, narrow)
+    inside = small.select(*_KEY, F.filter("ranges", lambda r: r["hi"] - r["lo"] >= window).alias("ranges")).where(F.size("ranges") > 0)
+    wide = repeated_ranges(keyed, window, inside=inside)
+    both = _met(small.withColumnRenamed("ranges", "narrow"), wide, ["ranges"], "left")
+    return _met(keyed, both, ["ranges", "narrow"], "left").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint, end:bigint>>, kept binary, repeated array<struct<start:bigint, end:bigint>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = dedup_substrings(C.table(spark, sf_dir, "documents"))
-    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", total("removed").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("repeated").alias("n_repeated"))
