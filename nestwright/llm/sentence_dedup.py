@@ -1,17 +1,18 @@
 """Substring dedup over sliding sentence spans.
 
-A sentence ends at a word that ends in . ! or ?, before a line break, or with the text. Every run of `k` consecutive
-sentences of a document is hashed (128 bits, A-Z lower-cased); a document of fewer sentences is one run. A run that
-occurs more than once stays at its first place (least doc_id, then place) and takes all its sentences out elsewhere.
-Runs of fewer than `least_words` words are left alone: they meet by chance.
+A sentence ends at a word that ends in . ! or ?, before a line break, or with the text; and, so that text without stops
+has sentences too and that a passage quoted from mid-sentence meets its source, at words chosen by content: those whose
+hash is the least among the REACH words on either side (of equal words each is). Equal passages are so cut at the same
+places but for REACH words at their ends.
 
-Runs also grow by content, from every sentence: where fewer than `k` sentences reach FEW_WORDS words, the fewest that do
-are a run, so that long sentences are found; where `k` sentences have fewer than `least_words` words, the fewest that
-reach them are, so that very short ones are. What stays of a repeat: the sentences at its ends that it holds in part,
-and all of it where it holds no whole run (one or two sentences of fewer than FEW_WORDS words, or none).
+From every sentence the shortest run of two sentences or more that reaches `least_words` words is hashed (128 bits, A-Z
+lower-cased); the last one of a document goes on to its end, and a document that doesn't reach them is one run. No run
+is dropped. A run that occurs more than once stays at its first place (least doc_id, then
+place) and takes all its sentences out elsewhere. What stays of a repeat: the words at its ends that belong to sentences
+it holds in part, at most one sentence more at its end, and all of it where its whole sentences have fewer than `least_words` words.
 
 Null and empty texts have no sentences. Of repeated rows (equal id and text) the rows can't be told apart, so they are
-one document. Null ids come first. Other columns are ignored.
+one document. Null ids come first. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,73 +26,72 @@ from pyspark.sql import functions as F
 
 from nestwright.llm import common as C
 
-SENTENCES, LEAST_WORDS = 3, 12
-#: Words from which fewer than SENTENCES sentences are a run: fewer words are often a stock sentence.
-FEW_WORDS = 25
+#: Sentences and words that a run has at least, and the words on either side that a content-defined end looks at.
+SENTENCES, LEAST_WORDS, REACH = 2, 24, 5
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _KEY = ("doc_id", "h1", "h2")
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, document and number of words of each sentence."""
+def least_around(value: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each value is the least of its document within `reach` places on either side; ties are."""
+    out = np.ones(len(value), bool)
+    for s in range(1, min(reach, len(value) - 1) + 1):
+        near = doc[s:] == doc[:-s]
+        out[s:] &= ~near | (value[s:] <= value[:-s])
+        out[:-s] &= ~near | (value[:-s] <= value[s:])
+    return out
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, ...]:
+    """Start, end, document and number of words of each sentence, and a hash of every word. data: A-Z lower-cased."""
     starts, ends, doc = C.words(data, offsets)
     if not len(starts):
-        return starts, ends, doc, starts
+        return starts, ends, doc, starts, np.zeros(0, np.uint64)
+    hashes = C.span_hashes(data, starts, ends)
     lines = np.cumsum(data == 10)
-    last = np.append((doc[1:] != doc[:-1]) | _END[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[ends[:-1] - 1]), True)
+    last = least_around(hashes, doc, reach) | _END[data[ends - 1]]
+    last[:-1] |= (doc[1:] != doc[:-1]) | (lines[starts[1:]] != lines[ends[:-1] - 1])
+    last[-1] = True
     stop = np.flatnonzero(last)
     first = np.append(0, stop[:-1] + 1)
-    return starts[first], ends[stop], doc[first], stop - first + 1
+    return starts[first], ends[stop], doc[first], stop - first + 1, hashes
 
 
-def grown(words: np.ndarray, doc: np.ndarray, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence and size of the runs that grow by content and aren't of `k` sentences or a whole short document."""
-    sums, at = np.append(0, np.cumsum(words)), np.arange(len(words))
+def runs_of(words: np.ndarray, doc: np.ndarray, k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and size of every run."""
+    at, sums = np.arange(len(words)), np.append(0, np.cumsum(words))
     first, end = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
-    few, many = (np.searchsorted(sums, sums[:-1] + n) - at for n in (max(FEW_WORDS, least_words), least_words))
-    few_fit = (few < k) & (at + few <= end) & ~((at == first) & (few == end - first))
-    many_fit = (many > k) & (at + many <= end)
-    return np.append(at[few_fit], at[many_fit]), np.append(few[few_fit], many[many_fit])
-
-
-def _sized_hashes(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of runs of differing size, equal to those of C.run_hashes."""
-    out = np.zeros(len(at), np.uint64)
-    for n in np.unique(size):
-        of = np.flatnonzero(size == n)
-        total = np.zeros(len(of), np.uint64)
-        for i in range(n):
-            total = C.mix(total * np.uint64(0xFF51AFD7ED558CCD) + hashes[at[of] + i] + np.uint64(i + 1))
-        out[of] = total
-    return out
+    to = np.maximum(np.searchsorted(sums, sums[:-1] + least_words), at + k)
+    fits = to <= end
+    use = fits | (at == first)
+    last = np.flatnonzero(fits & ~np.append(fits[1:] & (doc[1:] == doc[:-1]), False)) if len(doc) else at  # goes on to the end as well
+    last = last[to[last] < end[last]]
+    return np.append(at[use], last), np.append(np.minimum(to, end)[use] - at[use], end[last] - last)
+
+
+def word_run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words from start to end of each run."""
+    out = []
+    for base, salt in ((C.BASE, 0xA5A5A5A5A5A5A5A5), (0xD1342543DE82EF95, 0x5851F42D4C957F2D)):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(C.mix(hashes ^ np.uint64(salt)) * C.powers(base, len(hashes)), out=sums[1:])
+        back = C.powers(pow(base, -1, 2**64), len(hashes) + 1)
+        out.append(C.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return out[0], out[1]
 
 
 def _hashed(k: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in C.sliced(batches):
-            low = C.LOWER[data]
-            a, b, doc, words = sentences(low, offsets)
-            one = C.span_hashes(low, a, b)
-            count = np.bincount(doc, minlength=len(batch))
-            first = np.searchsorted(doc, np.arange(len(batch)))
-            at, f0 = C.run_hashes(one, doc, k)
-            _, f1 = C.run_hashes(C.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)), doc, k)
+            _, _, doc, words, hashes = sentences(C.LOWER[data], offsets)
+            at, size = runs_of(words, doc, k, least_words)
             sums = np.append(0, np.cumsum(words))
-            size = np.full(len(at), k)
-            short = np.flatnonzero((count > 0) & (count < k))
-            if len(short):
-                own = [C.run_hashes(h[first[d] : first[d] + count[d]], np.zeros(count[d], np.int64), int(count[d]))[1][0] for h in (one, C.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5))) for d in short]
-                at, size = np.append(at, first[short]), np.append(size, count[short])
-                f0, f1 = np.append(f0, np.array(own[: len(short)], np.uint64)), np.append(f1, np.array(own[len(short) :], np.uint64))
-            more, sizes = grown(words, doc, k, least_words)
-            at, size = np.append(at, more), np.append(size, sizes)
-            f0, f1 = (np.append(f, _sized_hashes(h, more, sizes)) for f, h in ((f0, one), (f1, C.mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
-            use = sums[at + size] - sums[at] >= least_words
-            at, size, f0, f1 = at[use], size[use], f0[use], f1[use]
+            f0, f1 = word_run_hashes(hashes, sums[at], sums[at + size])
             d = doc[at]
             take = pa.array(d)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in _KEY), pa.array((at - first[d]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(f0.view(np.int64)), pa.array(f1.view(np.int64))], [*_KEY, "at", "size", "f0", "f1"])
+            place = at - np.searchsorted(doc, np.arange(len(batch)))[d]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in _KEY), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(f0.view(np.int64)), pa.array(f1.view(np.int64))], [*_KEY, "at", "size", "f0", "f1"])
 
     return run
 
@@ -99,7 +99,7 @@ def _hashed(k: int, least_words: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch, data, offsets in C.sliced(batches):
-        a, b, doc, words = sentences(data, offsets)
+        a, b, doc, words, _ = sentences(C.LOWER[data], offsets)
         first = np.searchsorted(doc, np.arange(len(batch) + 1))
         n, gone, n_words, removed, kept = [], [], [], [], []
         for i, runs in enumerate(batch.column("runs").to_pylist()):
@@ -129,8 +129,7 @@ def dedup_sentences(docs: DataFrame, k: int = SENTENCES, least_words: int = LEAS
     met = C.materialize(runs.join(least, ["f0", "f1"]))
     # The first document may hold a run twice, or share its id with another text: settled among those rows alone.
     inside = met.where(order == F.col("d0"))
-    first = inside.groupBy("f0", "f1").agg(F.min("h1").alias("x1"))
-    first = inside.join(first, ["f0", "f1"]).where("h1 = x1").groupBy("f0", "f1", "x1").agg(F.min("at").alias("x0"))
+    first = C.by(inside, "f0", "f1").agg(F.min(F.struct("h1", "at")).alias("x")).select("key.f0", "key.f1", F.col("x.h1").alias("x1"), F.col("x.at").alias("x0"))
     later = inside.join(first, ["f0", "f1"]).where("h1 <> x1 or at <> x0")
     gone = met.where(order != F.col("d0")).select(*_KEY, "at", "size").unionByName(later.select(*_KEY, "at", "size"))
     of_doc = C.materialize(gone.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs")))  # at most a document's length

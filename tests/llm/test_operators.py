@@ -84,21 +84,48 @@ def test_components_settle_or_raise(spark):
     assert {tuple(x) for x in near_dedup.components(links).collect()} == {(i, 0) for i in range(1, 41)}
 
 
+def covered(texts, size):
+    count = Counter(t[s : s + size] for t in texts for s in range(len(t) - size + 1))
+    for t in texts:
+        mark = bytearray(len(t))
+        for s in range(len(t) - size + 1):
+            if count[t[s : s + size]] > 1:
+                mark[s : s + size] = b"\1" * size
+        yield mark
+
+
 def test_exact_substrings(docs, rows, none):
     texts = [(r[1] or "").encode() for r in rows]
-    count = Counter(t[s : s + 400] for t in texts for s in range(len(t) - 399))
     want = Counter()
-    for r, t in zip(rows, texts, strict=True):
-        mark = bytearray(len(t))
-        for s in range(len(t) - 399):
-            if count[t[s : s + 400]] > 1:
-                mark[s : s + 400] = b"\1" * 400
-        want[r[0], len(t), sum(mark), sha(bytes(b for b, m in zip(t, mark, strict=True) if not m))] += 1
+    for r, t, mark, near in zip(rows, texts, covered(texts, 400), covered(texts, 256), strict=True):
+        runs = len(re.findall(b"\1+", bytes(mark)))
+        want[r[0], len(t), sum(mark), runs, sha(bytes(b for b, m in zip(t, mark, strict=True) if not m)), sum(near)] += 1
+    total = lambda spans: sum(s.end - s.start for s in spans)
     got = exact_substrings.dedup_substrings(docs).collect()
-    assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), sha(bytes(r.kept))) for r in got) == want
+    assert Counter((r.doc_id, r.n_bytes, total(r.removed), len(r.removed), sha(bytes(r.kept)), total(r.repeated)) for r in got) == want
     assert exact_substrings.dedup_substrings(none).count() == 0
 
 
+def test_exact_substrings_refined(put):
+    """Near copies with many edits, and a long period, so that buckets are refined down to single windows."""
+    r, text = random.Random(6), fresh(6)
+    base = text(300)
+    texts = [base]
+    for _ in range(12):
+        t = list(base)
+        for _ in range(r.randint(1, 12)):
+            t[r.randrange(len(t))] = "#"
+        texts.append("".join(t[r.randint(0, 300) :]))
+    texts += ["abc" * 500, "x" * 399, "y" * 400, "y" * 401, base[:400], base[:399], text(70) + base[700:1101]]
+    raw = [t.encode() for t in texts]
+    want = {i: (sum(a), sum(b)) for i, (a, b) in enumerate(zip(covered(raw, 400), covered(raw, 256), strict=True))}
+    total = lambda spans: sum(s.end - s.start for s in spans)
+    got = exact_substrings.dedup_substrings(put(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {x.doc_id: (total(x.removed), total(x.repeated)) for x in got} == want
+    with pytest.raises(ValueError):
+        exact_substrings.dedup_substrings(put([], "doc_id bigint, text string"), 100, 200)
+
+
 def test_sentence_dedup(docs, none):
     got = {r.doc_id: r for r in sentence_dedup.dedup_sentences(docs).collect()}
     assert got[60].text.strip() == ""  # a copy of document 0
@@ -109,16 +136,40 @@ def test_sentence_dedup(docs, none):
     assert sentence_dedup.dedup_sentences(none).count() == 0
 
 
-def test_sentence_runs_grow_by_content(put):
-    r = random.Random(4)
-    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
-    long, short, chance = sentence(60), " ".join(sentence(1 + i % 2) for i in range(40)), sentence(10)
-    around = lambda x: f"{sentence(9)} {x} {sentence(9)}"
-    two = sentence(30) + " " + sentence(30)
-    texts = [t for x in (long, short, two, chance) for t in (around(x), around(x))] + [sentence(30) + " " + sentence(4)] * 2
-    got = {x.doc_id: x for x in sentence_dedup.dedup_sentences(put(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert [got[i].n_removed_words for i in range(10)] == [0, 60, 0, 60, 0, 60, 0, 0, 0, 34]
-    assert all("".join(got[i].text.split()) == "".join(texts[i].replace(x, "").split()) for i, x in ((1, long), (3, short), (5, two)))
+def fresh(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    return lambda n, stop=0.0: " ".join(word() + ("." if r.random() < stop else "") for _ in range(n))
+
+
+def test_passages_from_mid_sentence(put):
+    """51 words or more, cut anywhere out of texts with many stops, few or none, are caught; what is met once is not."""
+    text, rows, want = fresh(4), [], set()
+    for i in range(60):
+        stop = (0.0, 0.03, 0.1, 0.4)[i % 4]
+        passage = text(51 + i % 10, stop)
+        rows += [(2 * i, f"{text(30, stop)} {passage} {text(30, stop)}"), (2 * i + 1, f"{text(17, stop)} {passage} {text(45, stop)}")]
+        want.add(2 * i + 1)
+    rows += [(200 + i, text(80, 0.1)) for i in range(20)]
+    got = {x.doc_id: x for x in sentence_dedup.dedup_sentences(put(rows, "doc_id bigint, text string")).collect()}
+    assert {i for i, x in got.items() if x.n_removed} == want
+    assert all(24 <= got[i].n_removed_words <= 60 for i in want)
+    spam = [(0, "buy now " * 90), (1, "now " * 200), (2, "now " * 90), (3, "short"), (4, "short"), (5, "word!! " * 70), (6, "x word!! " + "word!! " * 99)]
+    got = {x.doc_id: x for x in sentence_dedup.dedup_sentences(put(spam, "doc_id bigint, text string")).collect()}
+    assert got[2].text == "" and got[4].text == "" and got[6].n_removed_words > 90
+    assert got[0].n_removed_words >= 120 and got[1].n_removed_words > 150  # inside themselves
+
+
+def test_sentences_are_cut_alike():
+    text = fresh(9)
+    passage = text(60, 0.05)
+    cut = []
+    for around in (text(9), text(20), ""):
+        data = np.frombuffer(f"{around} {passage} {around}".encode(), np.uint8)
+        a, b, _, _, _ = sentence_dedup.sentences(data, np.array([0, len(data)]))
+        at = len(around) + 1
+        cut.append({x - at for x in b.tolist() if 60 < x - at < len(passage) - 60})
+    assert cut[0] == cut[1] == cut[2] and len(cut[0]) > 4
 
 
 def test_sentence_dedup_by_brute_force(docs, rows):
@@ -126,21 +177,16 @@ def test_sentence_dedup_by_brute_force(docs, rows):
     rows = sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
     runs, parts = {}, {}
     for d, (_, t) in enumerate(rows):
-        own = parts[d] = []
-        for line in t.lower().split("\n"):
-            fresh = True
-            for w in re.findall(r"[^\x20\x09-\x0d]+", line):
-                own += [[]] if fresh else []
-                own[-1].append(w)
-                fresh = w[-1] in ".!?"
+        data = np.frombuffer(t.encode(), np.uint8)
+        a, b, _, _, _ = sentence_dedup.sentences(sentence_dedup.C.LOWER[data], np.array([0, len(data)]))
+        own = parts[d] = [words(t.encode()[x:y].decode()) for x, y in zip(a, b, strict=True)]
+        assert [w for s in own for w in s] == words(t)
+        assert all(s[-1][-1:] in b".!?" or i + 1 == len(own) or len(own) > 1 for i, s in enumerate(own))
         n = list(map(len, own))
         for i in range(len(own)):
-            sizes = {3} if len(own) >= 3 else {len(own)} if i == 0 else set()
-            for least, fits in ((25, lambda x: x < 3), (12, lambda x: x > 3)):
-                sizes |= {next((x for x in range(1, len(own) - i + 1) if sum(n[i : i + x]) >= least and fits(x) and sum(n[i : i + x - 1]) < least), 0)}
-            for x in sizes - {0}:
-                if i + x <= len(own) and sum(n[i : i + x]) >= 12:
-                    runs.setdefault(tuple(map(tuple, own[i : i + x])), []).append((d, i, x))
+            fits = [next((x for x in range(2, len(own) - j + 1) if sum(n[j : j + x]) >= 24), 0) for j in (i, i + 1)]
+            for size in {fits[0] or (0 if i else len(own)), len(own) - i if fits[0] and not fits[1] else 0} - {0}:
+                runs.setdefault(tuple(w.lower() for s in own[i : i + size] for w in s), []).append((d, i, size))
     gone = {(d, j) for places in runs.values() for d, i, x in sorted(places)[1:] for j in range(i, i + x)}
     want = {(rows[d][0], len(own), sum((d, j) in gone for j in range(len(own))), sum(len(own[j]) for j in range(len(own)) if (d, j) in gone)) for d, own in parts.items()}
     got = sentence_dedup.dedup_sentences(docs).collect()
