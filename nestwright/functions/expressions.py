@@ -2,7 +2,8 @@
 
 Every declared field is present and SQL NULL is the document null; a path that the schema doesn't have is missing, known
 while compiling. A missing operand makes arithmetic null, comparisons missing and conditions false, and a missing
-result omits the field. Types are static, so comparisons across types are settled by rank while compiling.
+result omits the field. Types are static, so comparisons across types are settled by rank while compiling. A field of
+mixed types is a VARIANT: there missing is SQL NULL, and ranks are compared as the query runs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
+from nestwright.functions import mixed
+from nestwright.functions.mixed import is_mixed
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,8 @@ def literal(v) -> Val:
         inner = [literal(x) for x in v]
         if not inner:
             return Val(F.array().cast("array<string>"), T.ArrayType(T.StringType()))
+        if len({rank(x.type) for x in inner} - {5, None}) > 1:
+            return Val(F.array(*map(mixed.literal, v)), T.ArrayType(T.VariantType()))
         return Val(F.array(*(x.col for x in inner)), T.ArrayType(inner[0].type))
     if isinstance(v, dict):
         inner = {k: literal(x) for k, x in v.items()}
@@ -99,6 +104,8 @@ def step(v: Val, rest: list[str], spread: bool) -> Val:
             v = Val(v.col.getField(name), v.type[name].dataType)
         elif isinstance(v.type, T.MapType):
             v = Val(F.try_element_at(v.col, F.lit(name)), v.type.valueType)
+        elif is_mixed(v.type):
+            v = Val(mixed.member(v.col, name, spread), v.type)
         elif isinstance(v.type, T.ArrayType) and re.fullmatch(r"-?\d+", name):
             n = int(name)
             v = Val(F.get(v.col, F.lit(n)) if n >= 0 else F.try_element_at(v.col, F.lit(n)), v.type.elementType)
@@ -122,6 +129,9 @@ def truth(v: Val) -> Column:
         return F.lit(False)
     if isinstance(v.type, T.BooleanType):
         return F.coalesce(v.col, F.lit(False))
+    if is_mixed(v.type):
+        false = F.coalesce(mixed.number(v.col) == 0, F.lit(False)) | F.coalesce((mixed.kind(v.col) == "BOOLEAN") & ~F.try_variant_get(v.col, "$", "boolean"), F.lit(False))
+        return ~mixed.is_null(v.col) & ~false
     return F.coalesce(v.col != 0, F.lit(False)) if is_number(v.type) else v.col.isNotNull()
 
 
@@ -135,13 +145,23 @@ def comparable(a: Val, b: Val) -> tuple[Column, Column] | None:
     return None
 
 
+def key_of(v: Val, numbers: bool = False) -> Column:
+    """What a value of any type is compared by."""
+    return mixed.key(mixed.as_variant(v.col, v.type), numbers)
+
+
 def same(a: Val, b: Val) -> Column:
+    if is_mixed(a.type) or is_mixed(b.type):
+        return key_of(a, True) == key_of(b, True)
     both = comparable(a, b)
     return F.lit(False) & a.col.isNull() if both is None else both[0].eqNullSafe(both[1])
 
 
 def ordered(op: str, a: Val, b: Val) -> Column:
     """Comparison in the order of all values: null first, then by rank, then by value."""
+    if is_mixed(a.type) or is_mixed(b.type):
+        x, y = key_of(a), key_of(b)
+        return {"$gt": x > y, "$gte": x >= y, "$lt": x < y, "$lte": x <= y}[op]
     ra, rb = rank(a.type), rank(b.type)
     if ra is not None and rb is not None and ra != rb and 5 not in (ra, rb):
         less = F.when(a.col.isNull() & b.col.isNull(), F.lit(0)).when(a.col.isNull(), F.lit(-1)).when(b.col.isNull(), F.lit(1)).otherwise(F.lit(-1 if ra < rb else 1))
@@ -206,6 +226,14 @@ def _null(t: T.DataType) -> Val:
     return Val(F.lit(None).cast(t), t)
 
 
+def as_number(name: str, v: Val) -> Val:
+    """A value of mixed type as a double: null if it is null or missing, an error if it is no number."""
+    if v.missing or not is_mixed(v.type):
+        return v
+    wrong = F.raise_error(F.concat(F.lit(f"Parameter to {name} must evaluate to a number, got "), mixed.kind(v.col))).cast("double")
+    return Val(F.when(mixed.is_null(v.col), F.lit(None)).when(mixed.rank_of(v.col) == 10, mixed.number(v.col)).otherwise(wrong), T.DoubleType())
+
+
 def _numbers(name: str, vals: list[Val]) -> None:
     for v in vals:
         if not v.missing and v.type is not None and not is_number(v.type) and not isinstance(v.type, T.NullType):
@@ -226,7 +254,7 @@ def _let(name, arg, env):
 
 @op("$abs", "$ceil", "$exp", "$floor", "$ln", "$log10", "$sqrt", "$trunc")
 def _one_number(name, arg, env):
-    (v,) = _many(arg, env, 1, name)
+    v = as_number(name, _many(arg, env, 1, name)[0])
     if v.missing:
         return _null(T.DoubleType())
     _numbers(name, [v])
@@ -240,7 +268,7 @@ def _one_number(name, arg, env):
 
 @op("$add", "$multiply")
 def _sums(name, arg, env):
-    vals = _many(arg, env)
+    vals = [as_number(name, v) for v in _many(arg, env)]
     if any(v.missing or isinstance(v.type, T.NullType) for v in vals):
         return _null(T.DoubleType())
     _numbers(name, vals)
@@ -277,6 +305,7 @@ def _two_numbers(name, arg, env):
         if rank(b.type) == 45:
             return Val(F.timestamp_diff("MILLISECOND", b.col, a.col), T.LongType())
         return Val(F.timestamp_add("MILLISECOND", -b.col.cast("bigint"), a.col), a.type)
+    a, b = as_number(name, a), as_number(name, b)
     _numbers(name, [a, b])
     if name == "$subtract":
         return Val(_long(a) - _long(b), _sum_type([a, b]))
@@ -284,10 +313,20 @@ def _two_numbers(name, arg, env):
     return Val({"$divide": lambda: x / y, "$mod": lambda: x % y, "$pow": lambda: F.pow(x, y), "$log": lambda: F.log(x) / F.log(y)}[name](), T.DoubleType())
 
 
+def _extreme(keyed: Column, name: str) -> Column:
+    """The value with the least or largest key of an array of (key, value); nulls don't count."""
+    some = F.filter(keyed, lambda x: x["k"]["rank"] > 5)
+    less = (lambda a, b: a["k"] < b["k"]) if name == "$min" else (lambda a, b: a["k"] > b["k"])
+    return F.aggregate(some, F.get(some, F.lit(0)), lambda a, x: F.when(less(x, a), x).otherwise(a))["v"]
+
+
 @op("$sum", "$avg", "$min", "$max")
 def _reduced(name, arg, env):
     if isinstance(arg, list | tuple):
-        vals = [v for v in _many(arg, env) if not v.missing]
+        vals = [Val(mixed.number(v.col), T.DoubleType()) if is_mixed(v.type) and name in ("$sum", "$avg") else v for v in _many(arg, env) if not v.missing]
+        if name in ("$min", "$max") and any(is_mixed(v.type) for v in vals):
+            keyed = F.array(*(F.struct(key_of(v).alias("k"), mixed.as_variant(v.col, v.type).alias("v")) for v in vals))
+            return Val(_extreme(keyed, name), T.VariantType())
         if name in ("$sum", "$avg"):
             vals = [Val(v.col.cast("int"), T.IntegerType()) if isinstance(v.type, T.BooleanType) else v for v in vals if is_number(v.type) or isinstance(v.type, T.BooleanType)]
         if not vals:
@@ -297,7 +336,11 @@ def _reduced(name, arg, env):
         total = sum((F.coalesce(_long(v), F.lit(0)) for v in vals[1:]), F.coalesce(_long(vals[0]), F.lit(0)))
         n = sum((v.col.isNotNull().cast("int") for v in vals[1:]), vals[0].col.isNotNull().cast("int"))
         return Val(total, _sum_type(vals)) if name == "$sum" else Val(F.when(n > 0, total / n), T.DoubleType())
-    v = compile_expression(arg, env)
+    v = opened(compile_expression(arg, env))
+    if not v.missing and isinstance(v.type, T.ArrayType) and is_mixed(v.type.elementType):
+        if name in ("$min", "$max"):
+            return Val(_extreme(F.transform(v.col, lambda x: F.struct(mixed.key(x).alias("k"), x.alias("v"))), name), T.VariantType())
+        v = Val(F.transform(v.col, mixed.number), T.ArrayType(T.DoubleType()))
     if v.missing or not isinstance(v.type, T.ArrayType):
         if not v.missing and is_number(v.type):
             return v if name != "$sum" else Val(F.coalesce(v.col, F.lit(0)), v.type)
@@ -314,7 +357,7 @@ def _reduced(name, arg, env):
 
 @op("$first", "$last")
 def _ends(name, arg, env):
-    v = compile_expression(arg, env)
+    v = opened(compile_expression(arg, env))
     if v.missing:
         return MISSING
     if not isinstance(v.type, T.ArrayType):
@@ -325,6 +368,7 @@ def _ends(name, arg, env):
 @op("$arrayElemAt")
 def _at(name, arg, env):
     v, i = _many(arg, env, 2, name)
+    v = opened(v)
     if v.missing or i.missing:
         return MISSING
     if isinstance(arg[1], int):
@@ -338,6 +382,10 @@ def _compared(name, arg, env):
     a, b = _many(arg, env, 2, name)
     if a.missing or b.missing:
         return MISSING
+    absent = [v.col.isNull() for v in (a, b) if is_mixed(v.type)]
+    if absent:  # a missing operand makes the comparison missing
+        test = same(a, b) if name == "$eq" else ~same(a, b) if name == "$ne" else ordered(name, a, b)
+        return Val(F.when(~(absent[0] if len(absent) == 1 else absent[0] | absent[1]), test), T.BooleanType())
     return Val(same(a, b) if name == "$eq" else ~same(a, b) if name == "$ne" else ordered(name, a, b), T.BooleanType())
 
 
@@ -363,16 +411,25 @@ def _cond(name, arg, env):
     return _branches([(truth(test), yes)], no)
 
 
-def _one_kind(vals: list[Val], what: str) -> None:
-    """Types are static: values of types that don't compare can't meet in one column."""
-    ranks = {rank(v.type) for v in vals if not v.missing and not isinstance(v.type, T.NullType)} - {None}
-    if len(ranks) > 1:
-        raise NotImplementedError(f"{what} of different types ({', '.join(sorted(v.type.simpleString() for v in vals if v.type))}) are not supported in one column")
+def opened(v: Val) -> Val:
+    """An array of mixed values for a value of mixed type; null if it is no array."""
+    return Val(mixed.elements(v.col), T.ArrayType(T.VariantType())) if not v.missing and is_mixed(v.type) else v
+
+
+def differ(vals: list[Val]) -> bool:
+    """Whether values are of types that don't compare, so that only a variant holds them."""
+    return any(is_mixed(v.type) for v in vals) or len({rank(v.type) for v in vals if not v.missing and not isinstance(v.type, T.NullType)} - {None}) > 1
+
+
+def widened(v: Val) -> Val:
+    return Val(F.lit(None).cast("variant") if v.missing else mixed.as_variant(v.col, v.type), T.VariantType())
 
 
 def _branches(tests: list[tuple[Column, Val]], other: Val) -> Val:
     vals = [v for _, v in tests] + [other]
-    _one_kind(vals, "branches")
+    if differ(vals):
+        tests, other = [(t, widened(v)) for t, v in tests], widened(other)
+        vals = [v for _, v in tests] + [other]
     kind = next((v.type for v in vals if not v.missing and not isinstance(v.type, T.NullType)), T.NullType())
     if is_number(kind):
         kind = _wider([v for v in vals if not v.missing and is_number(v.type)])
@@ -388,7 +445,10 @@ def _if_null(name, arg, env):
     vals = [v for v in _many(arg, env) if not v.missing]
     if not vals:
         return MISSING
-    _one_kind(vals, "alternatives")
+    if differ(vals):
+        vals = [widened(v) for v in vals]
+        null = F.parse_json(F.lit("null"))
+        return Val(F.coalesce(*(F.when(~mixed.is_null(v.col), v.col) for v in vals), null), T.VariantType())
     kind = next((v.type for v in vals if not isinstance(v.type, T.NullType)), T.NullType())
     if is_number(kind):
         kind = _wider([v for v in vals if is_number(v.type)])
@@ -411,7 +471,7 @@ def _switch(name, arg, env):
 def _text(v: Val) -> Column:
     if isinstance(v.type, T.BooleanType):
         return F.initcap(v.col.cast("string"))
-    return v.col.cast("string")
+    return F.try_variant_get(v.col, "$", "string") if is_mixed(v.type) else v.col.cast("string")
 
 
 @op("$toLower", "$toUpper")
@@ -472,6 +532,8 @@ def _regex(name, arg, env):
         pattern = pattern.pattern
     if not isinstance(pattern, str) or set(options) - set("imsx"):
         raise OperationFailure("$regexMatch needs a pattern and the options i, m, s or x")
+    if is_mixed(v.type):
+        v = Val(mixed.text(v.col), T.StringType())
     if rank(v.type) != 15:
         raise OperationFailure("$regexMatch needs 'input' to be of type string")
     found = v.col.rlike(flags(options) + pattern)
@@ -544,7 +606,7 @@ def _mapped(name, arg, env):
     body = "in" if name == "$map" else "cond"
     if not isinstance(arg, dict) or not {"input", body} <= set(arg) or set(arg) - {"input", "as", body}:
         raise OperationFailure(f"{name} needs 'input' and '{body}'")
-    v = compile_expression(arg["input"], env)
+    v = opened(compile_expression(arg["input"], env))
     if v.missing:
         return _null(T.ArrayType(T.StringType())) if name == "$map" else MISSING
     if not isinstance(v.type, T.ArrayType):
@@ -566,7 +628,7 @@ def _python_truth(v: Val) -> Column:
 
 @op("$size")
 def _size(name, arg, env):
-    (v,) = _many(arg, env, 1, name)
+    v = opened(_many(arg, env, 1, name)[0])
     if v.missing or not isinstance(v.type, T.ArrayType):
         raise OperationFailure("The argument to $size must be an array")
     return Val(F.when(v.col.isNull(), F.raise_error(F.lit("The argument to $size must be an array")).cast("int")).otherwise(F.size(v.col)), T.IntegerType())
@@ -576,7 +638,7 @@ def _size(name, arg, env):
 def _slice(name, arg, env):
     if not isinstance(arg, list | tuple) or len(arg) not in (2, 3) or not all(isinstance(x, int) for x in arg[1:]):
         raise OperationFailure("$slice takes an array and one or two whole numbers")
-    v = compile_expression(arg[0], env)
+    v = opened(compile_expression(arg[0], env))
     if v.missing:
         return MISSING
     return Val(sliced(v.col, *arg[1:]), v.type)
@@ -594,6 +656,7 @@ def sliced(col: Column, a: int, b: int | None = None) -> Column:
 @op("$in")
 def _in(name, arg, env):
     a, v = _many(arg, env, 2, name)
+    v = opened(v)
     if a.missing or v.missing:
         return MISSING
     if not isinstance(v.type, T.ArrayType):
@@ -623,7 +686,10 @@ def _objects(name, arg, env):
         kind = t["v"].dataType if isinstance(t, T.StructType) else t.elementType
         return Val(F.map_from_entries(F.transform(v.col, pair)), T.MapType(T.StringType(), kind))
     if isinstance(v.type, T.StructType):
-        _one_kind([Val(v.col, f.dataType) for f in v.type], "members")
+        members = [Val(v.col.getField(f.name), f.dataType) for f in v.type]
+        if differ(members):
+            entry = F.array(*(F.struct(F.lit(f.name).alias("k"), mixed.as_variant(m.col, m.type).alias("v")) for f, m in zip(v.type, members, strict=True)))
+            return Val(F.when(v.col.isNotNull(), entry), T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.VariantType())])))
         entry = F.array(*(F.struct(F.lit(f.name).alias("k"), v.col.getField(f.name).alias("v")) for f in v.type))
         kind = v.type[0].dataType
         col = F.when(v.col.isNotNull(), entry)
@@ -654,5 +720,7 @@ def _is(name, arg, env):
     if name == "$isArray" and isinstance(arg, list | tuple) and not (len(arg) == 1 and isinstance(arg[0], str)):
         return literal(True)
     (v,) = _many(arg, env, 1, name)
+    if not v.missing and is_mixed(v.type):
+        return Val(mixed.rank_of(v.col) == (10 if name == "$isNumber" else 25), T.BooleanType())
     fits = not v.missing and (is_number(v.type) if name == "$isNumber" else isinstance(v.type, T.ArrayType))
     return Val(v.col.isNotNull(), T.BooleanType()) if fits else literal(False)

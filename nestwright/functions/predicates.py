@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
+from nestwright.functions import mixed
 from nestwright.functions.expressions import Env, Val, compile_expression, flags, literal, rank, same, step, truth
+from nestwright.functions.mixed import is_mixed
 
 UNSUPPORTED = set("$where $text $jsonSchema $bitsAllClear $bitsAllSet $bitsAnyClear $bitsAnySet $geoIntersects $geoWithin $maxDistance $minDistance $near $nearSphere".split())
 _TYPES = {"double": T.DoubleType, "string": T.StringType, "object": (T.StructType, T.MapType), "array": T.ArrayType, "binData": T.BinaryType, "bool": T.BooleanType, "date": (T.TimestampNTZType, T.TimestampType, T.DateType), "int": (T.IntegerType, T.ShortType, T.ByteType), "long": T.LongType, "decimal": T.DecimalType, "number": T.NumericType}
@@ -63,6 +65,14 @@ def at_path(v: Val, rest: list[str], s, env: Env, below: bool = False) -> Column
         if isinstance(s, dict) and set(s) == {"$exists"} and not s["$exists"]:
             return F.coalesce(F.exists(v.col, each), F.lit(True)) | sure(F.size(v.col) == 0)
         return sure(F.exists(v.col, each))
+    if is_mixed(v.type):
+        own = at_path(Val(mixed.member(v.col, name, False), v.type), more, s, env, True)
+        if name.isdigit():
+            return own
+        each = lambda x: at_path(Val(mixed.member(x, name, False), v.type), more, s, env)
+        inside = mixed.elements(v.col)
+        spread = F.coalesce(F.forall(inside, lambda x: sure(each(x))), F.lit(True)) if negative else sure(F.exists(inside, lambda x: (mixed.rank_of(x) == 20) & each(x)))
+        return F.when(mixed.rank_of(v.col) == 25, spread).otherwise(own)
     inner = step(v, [name], False)
     if inner.missing:
         if not isinstance(v.type, T.StructType | T.MapType):
@@ -96,6 +106,8 @@ def tested(v: Val, s, env: Env) -> Column:
 
 def _any(v: Val, p) -> Column:
     """p on the value, or on some element of an array."""
+    if is_mixed(v.type):
+        return sure(p(v)) | sure(F.exists(mixed.elements(v.col), lambda x: p(Val(x, v.type))))
     if isinstance(v.type, T.ArrayType):
         return sure(F.exists(v.col, lambda x: p(Val(x, v.type.elementType))))
     return p(v)
@@ -104,6 +116,9 @@ def _any(v: Val, p) -> Column:
 def equal(v: Val, value) -> Column:
     if v.missing:
         return F.lit(value is None)
+    if is_mixed(v.type):
+        want = mixed.key(mixed.literal(value), True)
+        return _any(v, lambda x: mixed.key(x.col, True) == want)
     lit = literal(value)
     if isinstance(v.type, T.ArrayType):
         if isinstance(value, list | tuple):
@@ -119,12 +134,20 @@ def equal(v: Val, value) -> Column:
 def _search(v: Val, pattern: str, options: str) -> Column:
     if v.missing:
         return F.lit(False)
+    if is_mixed(v.type):
+        return _any(v, lambda x: mixed.text(x.col).rlike(flags(options) + pattern))
     return _any(v, lambda x: x.col.rlike(flags(options) + pattern) if rank(x.type) == 15 else F.lit(False))
 
 
 def _compared(name: str, v: Val, value) -> Column:
     if v.missing:
         return F.lit(False)
+    if is_mixed(v.type):
+        want = mixed.literal(value)
+        at = mixed.key(want)
+        test = {"$gt": lambda k: k > at, "$gte": lambda k: k >= at, "$lt": lambda k: k < at, "$lte": lambda k: k <= at}[name]
+        # A missing field is in no order, and only values of one rank are.
+        return _any(v, lambda x: x.col.isNotNull() & (mixed.rank_of(x.col) == mixed.rank_of(want)) & test(mixed.key(x.col)))
     lit = literal(value)
 
     def one(x: Val) -> Column:
@@ -141,7 +164,7 @@ def _among(v: Val, values) -> Column:
     if not isinstance(values, list | tuple):
         raise OperationFailure("$in needs a list")
     plain = [x for x in values if not isinstance(x, re.Pattern | list | tuple | dict) and x is not None]
-    if not v.missing and not isinstance(v.type, T.ArrayType) and len({rank(literal(x).type) for x in plain} | {rank(v.type)}) == 1:
+    if not v.missing and not isinstance(v.type, T.ArrayType | T.VariantType) and len({rank(literal(x).type) for x in plain} | {rank(v.type)}) == 1:
         parts = [v.col.isin(plain)] if plain else []
         values = [x for x in values if isinstance(x, re.Pattern | list | tuple | dict) or x is None]
     else:
@@ -161,6 +184,8 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
         return _compared(name, v, arg)
     if name in ("$in", "$nin"):
         return _among(v, arg) if name == "$in" else ~sure(_among(v, arg))
+    if name == "$exists" and not v.missing and is_mixed(v.type):
+        return v.col.isNotNull() if arg else v.col.isNull()
     if name == "$exists":
         return F.lit(v.missing != bool(arg))
     if name == "$not":
@@ -173,6 +198,8 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
     if name == "$size":
         if v.missing:
             return F.lit(False)
+        if is_mixed(v.type):
+            return sure(F.size(mixed.elements(v.col)) == arg)
         if isinstance(v.type, T.ArrayType | T.MapType):
             return sure(F.size(v.col) == arg)
         if isinstance(v.type, T.StructType):
@@ -188,16 +215,23 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
     if name == "$elemMatch":
         if not isinstance(arg, dict):
             raise OperationFailure("$elemMatch needs an Object")
+        if not v.missing and is_mixed(v.type):
+            return sure(F.exists(mixed.elements(v.col), lambda x: element(Val(x, v.type), arg, env)))
         return F.lit(False) if v.missing or not isinstance(v.type, T.ArrayType) else sure(F.exists(v.col, lambda x: element(Val(x, v.type.elementType), arg, env)))
     if name == "$type":
         kinds = arg if isinstance(arg, list | tuple) else [arg]
         out = F.lit(False)
         for k in kinds:
+            if k == "null" and not v.missing and is_mixed(v.type):
+                out = out | _any(v, lambda x: F.is_variant_null(x.col))
+                continue
             if k in ("undefined", "objectId", "null", "regex", "dbPointer", "javascript", "symbol", "javascriptWithScope", "timestamp", "minKey", "maxKey"):
                 raise NotImplementedError(f"the type {k} is not supported")
             if k not in _TYPES:
                 raise OperationFailure(f"{k} is not a valid $type")
-            if not v.missing:
+            if not v.missing and is_mixed(v.type):
+                out = out | _any(v, lambda x, k=k: _is_kind(x.col, k))
+            elif not v.missing:
                 own = v.col.isNotNull() if isinstance(v.type, _TYPES[k]) else F.lit(False)
                 if isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, _TYPES[k]):
                     own = own | sure(F.exists(v.col, lambda x: x.isNotNull()))
@@ -206,6 +240,14 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
     raise OperationFailure(f"unknown operator: {name}")
 
 
+def _is_kind(x: Column, k: str) -> Column:
+    name = mixed.kind(x)
+    if k in ("int", "long"):
+        small = F.coalesce(F.try_variant_get(x, "$", "int").isNotNull(), F.lit(False))
+        return name.isin("BIGINT", "INT", "SMALLINT", "TINYINT") & (small if k == "int" else ~small)
+    return name.isin(*mixed.TYPES[k])
+
+
 def element(v: Val, spec: dict, env: Env) -> Column:
     """An element of an array as a document, or as a value if the specification is of operators."""
     if spec and all(k.startswith("$") and k not in ("$and", "$or", "$nor") for k in spec):
@@ -218,7 +260,7 @@ def element(v: Val, spec: dict, env: Env) -> Column:
             for p in parts[1:]:
                 one = one & p if key == "$and" else one | p
             out = out & (~sure(one) if key == "$nor" else one)
-        elif isinstance(v.type, T.StructType | T.MapType):
+        elif isinstance(v.type, T.StructType | T.MapType | T.VariantType):
             out = out & at_path(v, key.split("."), s, env)
         else:
             out = F.lit(False)

@@ -1,7 +1,7 @@
 """Update documents compiled to one new column per changed field, guarded by the rows that match.
 
-A field's type is fixed: numbers widen and objects gain members, any other change of type raises `WriteError`. An absent
-field is null here, so $inc, $min, $max and $push start from nothing at a null.
+Numbers widen and objects gain members; where values of types meet that don't fit into one, the field becomes a VARIANT,
+of which $set, $unset, $rename and $setOnInsert write any value and the other operators raise. An absent field is null here, so $inc, $min, $max and $push start from nothing at a null.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure, WriteError
+from nestwright.functions import mixed
 from nestwright.functions.expressions import Env, Val, is_number, literal, rank, same
+from nestwright.functions.mixed import is_mixed
 from nestwright.functions.predicates import at_path, element, sure, tested
 
 Change = Callable[[Val | None], Val]
@@ -40,13 +42,15 @@ def merged(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
         return T.StructType([*mine, *(T.StructField(n, t) for n, t in theirs.items())])
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return T.ArrayType(merged(a.elementType, b.elementType))
-    raise WriteError(f"a field of type {a.simpleString()} can't take a value of type {b.simpleString()}")
+    return T.VariantType()
 
 
 def retyped(v: Val, t: T.DataType) -> Column:
-    """v's column with type t, which merged() gave."""
+    """v's column with type t, which merged() gave. A null of a fixed type is a missing field in a VARIANT."""
     if v.type == t:
         return v.col
+    if is_mixed(t) and not v.missing and not isinstance(v.type, T.NullType):
+        return F.when(v.col.isNotNull(), mixed.as_variant(v.col, v.type))
     if v.missing or isinstance(v.type, T.NullType):
         return F.lit(None).cast(t)
     if isinstance(t, T.StructType):
@@ -76,8 +80,12 @@ def inferred(value) -> T.DataType:
 def fitted(value, t: T.DataType | None) -> Val:
     """A Python value as a column of a type that t can be merged with."""
     whole = merged(t, inferred(value))
+    if is_mixed(whole):
+        return Val(mixed.literal(value), whole)
 
     def build(x, kind: T.DataType) -> Column:
+        if is_mixed(kind):
+            return mixed.literal(x)
         if x is None:
             return F.lit(None).cast(kind)
         if isinstance(kind, T.StructType):
@@ -350,5 +358,7 @@ def compile_update(update: dict, state: dict[str, Val], match: Column, env: Env,
                 "$unset": lambda: _nothing, "$inc": lambda: _plus(arg), "$max": lambda: _bound("$max", arg), "$min": lambda: _bound("$min", arg), "$pop": lambda: _pop(arg),
                 "$currentDate": lambda: _now(arg, now), "$addToSet": lambda: _add_to_set(arg), "$push": lambda: _push(arg), "$pull": lambda: _pull(arg, env, False), "$pullAll": lambda: _pull(arg, env, True),
             }
+            if head in state and is_mixed(state[head].type) and (rest or name not in ("$set", "$unset", "$setOnInsert")):
+                raise NotImplementedError(f"{name} of {path}, a field of mixed types, is not supported")
             state[head] = changed(state.get(head), rest, makers[name](), match, place_of(path, filter_, state, env))
     return state

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
+from nestwright.functions import mixed
 from nestwright.functions.expressions import Env, Val, sliced, step
+from nestwright.functions.mixed import is_mixed
 from nestwright.functions.predicates import element
 from nestwright.operators.shapes import env_of, excluded, hidden, included, shown, tree
 
@@ -33,14 +35,14 @@ def find_project(df: DataFrame, spec: dict | list | None) -> DataFrame:
     for path, how in spec.items():
         if not isinstance(how, dict):
             continue
-        if len(how) != 1 or not set(how) <= {"$slice", "$elemMatch"}:
-            raise NotImplementedError("projections take $slice and $elemMatch")
+        if not set(how) <= {"$slice", "$elemMatch"}:
+            raise ValueError(f"Unsupported projection option: {next(k for k in how if k not in ('$slice', '$elemMatch'))}")
+        if len(how) != 1:
+            raise NotImplementedError("a projection takes one of $slice and $elemMatch")
         ((name, arg),) = how.items()
         head, *below = path.split(".")
-        if below:
-            raise NotImplementedError(f"{name} of dotted fields is not supported")
         t = types.get(head)
-        if t is None:
+        if t is None or below:  # a dotted name is no field of the document itself, so there is nothing to rework
             continue
         if name == "$elemMatch":
             if isinstance(t, T.ArrayType):
@@ -73,6 +75,9 @@ def distinct(df: DataFrame, key: str) -> DataFrame:
     if v.missing:
         return df.select(F.lit(None).cast("string").alias("value")).limit(0)
     out = v.col
+    if is_mixed(v.type):
+        out = F.explode(F.coalesce(mixed.elements(v.col), F.when(v.col.isNotNull(), F.array(v.col)), F.array().cast("array<variant>")))
+        return df.select(out.alias("value")).groupBy(mixed.key(F.col("value")).alias("k")).agg(F.first("value").alias("value")).select("value")
     if isinstance(v.type, T.ArrayType):
         inner = v.type.elementType
         out = F.explode(F.when(v.col.isNull(), F.array(F.lit(None).cast(inner))).otherwise(v.col))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
-from nestwright.functions.expressions import Env, Val, compile_expression, is_number, rank
+from nestwright.functions import mixed
+from nestwright.functions.expressions import Env, Val, compile_expression, is_number, key_of, rank
+from nestwright.functions.mixed import is_mixed
 from nestwright.operators.shapes import env_of
 
 #: Accumulators whose result depends on the order of rows.
@@ -18,10 +20,10 @@ COUNT_SET = "$addToSet size"
 Order = list[tuple[str, bool]]
 
 
-def in_order(value: Column, order: Order) -> Column:
-    """The group's values as an array in the order of the rows."""
+def in_order(value: Column, order: Order, loose: bool = False) -> Column:
+    """The group's values as an array in the order of the rows; `loose` if the values themselves have no order."""
     rows = F.collect_list(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, (c, _) in enumerate(order)), value.alias("x")))
-    if all(up for _, up in order):
+    if all(up for _, up in order) and not loose:
         return F.transform(F.array_sort(rows), lambda r: r["x"])
 
     def compare(a: Column, b: Column) -> Column:
@@ -61,6 +63,9 @@ def place(order: Order, types: dict[str, T.DataType]) -> tuple[Column, bool] | N
 
 def _truthy(v: Val) -> Column:
     """The value, null where it is falsy."""
+    if is_mixed(v.type):
+        falsy = F.coalesce(mixed.number(v.col) == 0, F.lit(False)) | F.coalesce(mixed.text(v.col) == "", F.lit(False)) | F.coalesce((mixed.kind(v.col) == "BOOLEAN") & ~F.try_variant_get(v.col, "$", "boolean"), F.lit(False))
+        return F.when(~falsy & ~mixed.is_null(v.col), v.col)
     falsy = v.col == 0 if is_number(v.type) else v.col == "" if rank(v.type) == 15 else ~v.col if rank(v.type) == 40 else F.lit(False)
     return F.when(~F.coalesce(falsy, F.lit(False)), v.col)
 
@@ -69,6 +74,14 @@ def accumulator(name: str, arg, env: Env, order: Order, types: dict[str, T.DataT
     if name in ("$stdDevPop", "$stdDevSamp"):
         raise NotImplementedError(f"the accumulator {name} is not supported")
     v = compile_expression(arg, env)
+    if not v.missing and is_mixed(v.type):
+        if name in ("$sum", "$avg"):
+            v = Val(mixed.number(v.col), T.DoubleType())  # what is no number doesn't count
+        elif name in ("$min", "$max"):
+            return (F.min_by if name == "$min" else F.max_by)(v.col, F.when(~mixed.is_null(v.col), mixed.key(v.col)))
+        elif name == COUNT_SET:
+            kept = _truthy(v)
+            return (F.count_distinct(F.when(kept.isNotNull(), mixed.key(kept))) + F.coalesce(F.max(kept.isNull().cast("int")), F.lit(0))).cast("int")
     if name in ("$sum", "$avg"):
         if not v.missing and isinstance(v.type, T.BooleanType):
             v = Val(v.col.cast("int"), T.IntegerType()) if name == "$sum" else v
@@ -85,7 +98,7 @@ def accumulator(name: str, arg, env: Env, order: Order, types: dict[str, T.DataT
             return F.try_element_at(in_order(v.col, order), F.lit(1 if name == "$first" else -1))
         return (F.min_by if (name == "$first") == at[1] else F.max_by)(v.col, at[0])
     if name == "$push":
-        return F.max(F.array().cast("array<string>")) if v.missing else in_order(v.col, order)
+        return F.max(F.array().cast("array<string>")) if v.missing else in_order(v.col, order, is_mixed(v.type))
     if name == COUNT_SET:
         return F.lit(0).cast("int") if v.missing else (F.count_distinct(_truthy(v)) + F.coalesce(F.max(_truthy(v).isNull().cast("int")), F.lit(0))).cast("int")
     if name == "$mergeObjects":
@@ -111,8 +124,11 @@ def _sets(df: DataFrame, key: Column, spec: dict, env: Env, order: Order) -> dic
             continue
         at = place(order, types)
         where, rises = at if at is not None else (F.struct(F.col(f"`{order[-1][0]}`")), True)
-        each = df.groupBy(key.alias("__id"), _truthy(v).alias("__v")).agg((F.min if rises else F.max)(where).alias("__p"))
-        listed = F.array_sort(F.collect_list(F.struct("__p", "__v")))
+        kept = _truthy(v)
+        by = [key.alias("__id"), mixed.key(kept).alias("__k")] if is_mixed(v.type) else [key.alias("__id"), kept.alias("__v")]
+        each = df.groupBy(*by).agg((F.min if rises else F.max)(where).alias("__p"), *([F.first(kept).alias("__v")] if is_mixed(v.type) else []))
+        rows = F.collect_list(F.struct("__p", "__v"))
+        listed = F.array_sort(rows, lambda a, b: F.when(a["__p"] < b["__p"], -1).when(a["__p"] > b["__p"], 1).otherwise(0))
         listed = listed if rises else F.reverse(listed)
         out[name] = each.groupBy("__id").agg(F.transform(listed, lambda x: x["__v"]).alias(name))
     return out
@@ -133,12 +149,13 @@ def _outputs(df: DataFrame, spec: dict, env: Env, order: Order, sets: dict[str,
     return out
 
 
-def _aggregated(df: DataFrame, key: Column | None, spec: dict, order: Order) -> DataFrame:
-    """A row per key (`__id`) with its accumulators; without a key one row, also of nothing."""
+def _aggregated(df: DataFrame, key: Column | None, spec: dict, order: Order, value: Column | None = None) -> DataFrame:
+    """A row per key (`__id`) with its accumulators; without a key one row, also of nothing. `value`, if given, is the
+    value that the key stands for (`__value`)."""
     env, whole = env_of(df), key is None
     key = F.lit(1) if whole else key
     sets = _sets(df, key, spec, env, order)
-    outs = _outputs(df, spec, env, order, sets)
+    outs = _outputs(df, spec, env, order, sets) + ([] if value is None else [F.first(value).alias("__value")])
     if whole:
         made = df.agg(*(outs or [F.count("*").alias("__n")])).withColumn("__id", key)
     else:
@@ -159,9 +176,23 @@ def group(df: DataFrame, spec: dict, order: Order, by_key: bool = True) -> DataF
         made = _aggregated(df, None, rest, order)
         return made.select(*(F.col(f"`{k}`") for k in rest), F.lit(None).cast("string").alias("_id"))
     v = compile_expression(spec["_id"], env_of(df))
-    made = _aggregated(df, F.lit(None).cast("string") if v.missing else v.col, rest, order)
-    out = made.select(*(F.col(f"`{k}`") for k in rest), F.col("__id").alias("_id"))
-    return out.orderBy(F.col("_id").asc_nulls_first()) if by_key else out
+    loose = not v.missing and has_mixed(v.type)
+    made = _aggregated(df, F.lit(None).cast("string") if v.missing else comparable_key(v) if loose else v.col, rest, order, v.col if loose else None)
+    made = made.orderBy(F.col("__id").asc_nulls_first()) if by_key else made
+    return made.select(*(F.col(f"`{k}`") for k in rest), F.col("__value" if loose else "__id").alias("_id"))
+
+
+def has_mixed(t: T.DataType | None) -> bool:
+    return is_mixed(t) or isinstance(t, T.StructType) and any(has_mixed(f.dataType) for f in t)
+
+
+def comparable_key(v: Val) -> Column:
+    """A key that Spark can group by, for a value with variants in it."""
+    if is_mixed(v.type):
+        return key_of(v)
+    if isinstance(v.type, T.StructType):
+        return F.struct(*(comparable_key(Val(v.col.getField(f.name), f.dataType)).alias(f.name) for f in v.type))
+    return v.col
 
 
 def bucket(df: DataFrame, spec: dict, order: Order) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
-from nestwright.functions.expressions import Env, Val, compile_expression
+from nestwright.functions import mixed
+from nestwright.functions.expressions import Env, Val, compile_expression, step
+from nestwright.functions.mixed import is_mixed
 
 #: Prefix of columns that carry order and aren't part of the document.
 HIDDEN = "__"
@@ -47,6 +49,8 @@ def included(v: Val, sub: dict | None) -> Column | None:
         if included(Val(F.lit(None), v.type.elementType), sub) is None:
             return None
         return F.transform(v.col, lambda x: included(Val(x, v.type.elementType), sub))
+    if isinstance(v.type, T.VariantType):
+        raise NotImplementedError("members of a field of mixed types can't be kept alone; name each with an expression")
     if not isinstance(v.type, T.StructType):
         return None
     kept = [(f.name, included(Val(v.col.getField(f.name), f.dataType), sub[f.name])) for f in v.type if f.name in sub]
@@ -59,6 +63,8 @@ def excluded(v: Val, sub: dict | None) -> Column | None:
         return None
     if isinstance(v.type, T.ArrayType):
         return F.transform(v.col, lambda x: excluded(Val(x, v.type.elementType), sub))
+    if isinstance(v.type, T.VariantType):
+        raise NotImplementedError("members of a field of mixed types can't be left out alone")
     if not isinstance(v.type, T.StructType):
         return v.col
     kept = [(f.name, excluded(Val(v.col.getField(f.name), f.dataType), sub[f.name]) if f.name in sub else v.col.getField(f.name)) for f in v.type]
@@ -131,11 +137,14 @@ def unwind(df: DataFrame, spec) -> DataFrame:
         raise ValueError("$unwind needs a path that starts with $")
     head, *rest = path[1:].split(".")
     types = {f.name: f.dataType for f in df.schema}
-    from nestwright.functions.expressions import step
-
     v = step(Val(F.col(f"`{head}`"), types[head]), rest, False) if head in types else Val(None)
     if v.missing:
         return df.withColumn(index, F.lit(None).cast("bigint")) if keep and index else df if keep else df.limit(0)
+    if is_mixed(v.type):  # what is no array is one row
+        if rest:
+            raise NotImplementedError("a member of a field of mixed types can't be unwound")
+        listed = F.coalesce(mixed.elements(v.col), F.when(~mixed.is_null(v.col), F.array(v.col)))
+        v = Val(listed, T.ArrayType(T.VariantType()))
     if not isinstance(v.type, T.ArrayType):
         out = df if keep else df.where(v.col.isNotNull())
         return out.withColumn(index, F.lit(None).cast("bigint")) if index else out

@@ -143,7 +143,7 @@ def sort_keys(df: DataFrame, spec: dict, adds: bool) -> tuple[DataFrame, list, g
         v = Val(F.col("__seq"), T.LongType()) if path == "$natural" else env_of(df).path(path)
         if v.missing:
             continue
-        cols = [v.col]
+        cols = [groups.comparable_key(v) if groups.has_mixed(v.type) else v.col]
         if isinstance(v.type, T.ArrayType):  # empty before null, otherwise by the first element
             cols = [F.when(F.size(v.col) == 0, 0).otherwise(1), F.get(v.col, F.lit(0))]
         for m, c in enumerate(cols):

@@ -16,30 +16,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nestwright import features
 from nestwright.errors import BulkWriteError, CollectionInvalid, DuplicateKeyError, InvalidOperation, OperationFailure, WriteError
-from nestwright.functions.expressions import Val
+from nestwright.functions import mixed
+from nestwright.functions.expressions import Val, rank
+from nestwright.functions.mixed import is_mixed
 from nestwright.functions.predicates import compile_filter, sure
 from nestwright.functions.updates import compile_update, fitted, inferred, merged, retyped
 from nestwright.operators.finds import distinct, find_project
 from nestwright.operators.map_reduce import map_reduce
 from nestwright.operators.shapes import env_of, shown
 from nestwright.plans import pipeline as plans
-from nestwright.sources.results import BulkResult, DeleteMany, DeleteOne, DeleteResult, InsertOne, InsertResult, ReplaceOne, UpdateMany, UpdateOne, UpdateResult
+from nestwright.sources.results import BulkResult, DeleteMany, DeleteOne, DeleteResult, IndexModel, InsertOne, InsertResult, ReplaceOne, UpdateMany, UpdateOne, UpdateResult
 from nestwright.sources.shared import cut
 
 BEFORE, AFTER = False, True
 
 
 class Client:
-    """All databases of a session. `clock` gives the time in UTC, without a zone."""
+    """All databases of a session. `clock` gives the time in UTC, without a zone. With `schemaless` every field of an
+    inserted document but its id is a VARIANT, which tells a missing field from a null one; without it a field becomes
+    one only where values of different types meet in it."""
 
-    def __init__(self, spark: SparkSession, clock: Callable[[], datetime.datetime] | None = None):
-        self.spark, self._found = spark, {}
+    def __init__(self, spark: SparkSession, clock: Callable[[], datetime.datetime] | None = None, schemaless: bool = False):
+        self.spark, self._found, self.schemaless = spark, {}, schemaless
         self.clock = clock or (lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
 
     def __getitem__(self, name: str) -> Database:
         return self._found.setdefault(name, Database(self, name))
 
+    def __getattr__(self, name: str) -> Database:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self[name]
+
+    get_database = __getitem__
+
+    def __enter__(self) -> Client:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Nothing is held open."""
+
+    def server_info(self) -> dict:
+        version = [int(x) for x in self.spark.version.split(".")[:3]]
+        return {"version": ".".join(map(str, version)), "versionArray": [*version, 0], "sysInfo": "Spark", "bits": 64, "debug": False, "maxBsonObjectSize": 16777216, "ok": 1}
+
     def list_database_names(self) -> list[str]:
         return [n for n, d in self._found.items() if d.list_collection_names()]
 
@@ -59,7 +84,13 @@ class Database:
             raise CollectionInvalid(f"{name!r} can't name a collection")
         return self._found.setdefault(name, Collection(self, name))
 
-    get_collection = __getitem__
+    def __getattr__(self, name: str) -> Collection:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self[name]
+
+    def get_collection(self, name: str, **options) -> Collection:
+        return self[name].with_options(**options)
 
     def load(self, name: str, df: DataFrame) -> Collection:
         """The collection made to hold a DataFrame, such as a Parquet table."""
@@ -141,9 +172,10 @@ class Cursor:
 
     def __next__(self) -> dict:
         if self._rows is None:
-            self._rows = self.df.toLocalIterator()
+            df = self.df
+            self._rows, self._types = df.toLocalIterator(), df.schema
         try:
-            return next(self._rows).asDict(recursive=True)
+            return mixed.document(next(self._rows), self._types)
         except StopIteration:
             self.alive = False
             raise
@@ -186,7 +218,7 @@ class Cursor:
 
     def distinct(self, key: str) -> list:
         """The distinct values as a list; Collection.distinct_df gives them as a DataFrame."""
-        return [r["value"] for r in self._on.distinct_df(key, self._filter).collect()]
+        return [mixed.plain(r["value"]) for r in self._on.distinct_df(key, self._filter).collect()]
 
     def count(self) -> int:
         return self._on.count_documents(self._filter)
@@ -285,12 +317,22 @@ class Collection:
         return df.where(compile_filter(filter_, env_of(df)))
 
     # Reads
-    def find(self, filter: dict | None = None, projection=None, skip: int = 0, limit: int = 0, sort=None, **_) -> Cursor:
+    def find(self, filter: dict | None = None, projection=None, skip: int = 0, limit: int = 0, sort=None, **options) -> Cursor:
+        if filter is not None and not isinstance(filter, dict):
+            raise TypeError("filter must be a mapping")
+        features.refuse("session", options.pop("session", None))
+        for name, v in options.items():
+            if name not in _HINTS and v:
+                raise OperationFailure(f"Unrecognized field '{name}'")
         return Cursor(self, filter, projection, sort, skip, limit)
 
-    def find_one(self, filter=None, projection=None, sort=None, **_) -> dict | None:
+    def find_one(self, filter=None, projection=None, sort=None, **options) -> dict | None:
         filter = filter if filter is None or isinstance(filter, dict) else {"_id": filter}
-        return next(iter(self.find(filter, projection, 0, 1, sort)), None)
+        return next(iter(self.find(filter, projection, options.pop("skip", 0), 1, sort, **options)), None)
+
+    def count(self, filter: dict | None = None, session=None) -> int:
+        features.refuse("session", session)
+        return self.filtered(filter or {}).count()
 
     def distinct_df(self, key: str, filter: dict | None = None) -> DataFrame:
         return distinct(self.filtered(filter or {}), key)
@@ -298,7 +340,9 @@ class Collection:
     def distinct(self, key: str, filter: dict | None = None) -> list:
         return self.find(filter).distinct(key)
 
-    def count_documents(self, filter: dict, skip: int = 0, limit: int | None = None) -> int:
+    def count_documents(self, filter: dict, skip: int = 0, limit: int | None = None, collation=None, session=None, hint=None, maxTimeMS: int | None = None) -> int:  # noqa: N803
+        features.refuse("collation", collation)
+        features.refuse("session", session)
         if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int | float) or limit <= 0):
             raise OperationFailure("the limit must be positive")
         n = max(self.filtered(filter).count() - skip, 0)
@@ -311,7 +355,8 @@ class Collection:
         return plans.run(self._live(), pipeline, lambda n: self.database[n]._live(), lambda n, df: self.database[n]._replace_all(df))
 
     def aggregate(self, pipeline: list[dict], **_) -> Iterator[dict]:
-        return (r.asDict(recursive=True) for r in self.aggregate_df(pipeline).toLocalIterator())
+        df = self.aggregate_df(pipeline)
+        return (mixed.document(r, df.schema) for r in df.toLocalIterator())
 
     def find_raw_batches(self, *_, **__):
         raise NotImplementedError("raw batches are not supported")
@@ -348,19 +393,21 @@ class Collection:
     def _unique_keys(self) -> list[tuple[str, dict, list[str]]]:
         return [("_id_", {}, ["_id"]), *((n, i, [k for k, _ in i["key"]]) for n, i in self._indexes.items() if i.get("unique"))]
 
-    def _keyed(self, df: DataFrame, index: dict, keys: list[str]) -> DataFrame | None:
-        """The rows a unique key binds, with its values as `__u0`, `__u1`..."""
+    def _keyed(self, df: DataFrame, index: dict, keys: list[str], beside: DataFrame | None = None) -> DataFrame | None:
+        """The rows a unique key binds, with its values as `__u0`, `__u1`...; `beside` has rows they are compared with."""
         env = env_of(df)
         vals = [env.path(k) for k in keys]
+        theirs = vals if beside is None else [env_of(beside).path(k) for k in keys]
+        vals = [Val(mixed.key(mixed.as_variant(v.col, v.type))) if not v.missing and (is_mixed(v.type) or is_mixed(o.type) or rank(v.type) != rank(o.type) and not o.missing) else v for v, o in zip(vals, theirs, strict=True)]
         if all(v.missing for v in vals) and (keys == ["_id"] or index.get("sparse")):
             return None
         if index.get("partialFilterExpression"):
             df = df.where(compile_filter(index["partialFilterExpression"], env))
         df = df.withColumns({f"__u{i}": F.lit(None) if v.missing else v.col for i, v in enumerate(vals)})
         if keys == ["_id"]:  # rows of a loaded table may have none
-            df = df.where(F.col("__u0").isNotNull())
+            df = df.where(F.col("_id").isNotNull())
         if index.get("sparse"):
-            df = df.where(F.coalesce(*(F.when(F.col(f"__u{i}").isNotNull(), 1) for i in range(len(keys)))).isNotNull())
+            df = df.where(F.coalesce(*(F.when(~mixed.is_null(env.path(k).col) if is_mixed(env.path(k).type) else F.col(f"__u{i}").isNotNull(), 1) for i, k in enumerate(keys))).isNotNull())
         return df
 
     def _check_unique(self, df: DataFrame) -> None:
@@ -369,7 +416,34 @@ class Collection:
             if rows is not None and rows.groupBy(*(F.col(f"__u{i}") for i in range(len(keys)))).count().where("count > 1").limit(1).count():
                 raise DuplicateKeyError(f"duplicate key in {name}")
 
-    def insert_one(self, document: dict, **_) -> InsertResult:
+    def insert(self, data, **options):
+        """A document's id, or the ids of a list's."""
+        if isinstance(data, dict):
+            return self.insert_one(data, **options).inserted_id
+        return self.insert_many(data, **options).inserted_ids
+
+    def save(self, document: dict):
+        """Inserts a document without an id, and puts one with an id in its place."""
+        if not isinstance(document, dict):
+            raise TypeError("document must be a mapping")
+        if "_id" not in document:
+            return self.insert(document)
+        self.replace_one({"_id": document["_id"]}, document, upsert=True)
+        return document["_id"]
+
+    def update(self, spec: dict, document: dict, upsert: bool = False, multi: bool = False) -> dict:
+        operators = any(k.startswith("$") for k in document)
+        if multi and not operators:
+            raise WriteError("multi update only works with $ operators")
+        done = self._update(spec, document, multi, upsert) if operators else self.replace_one(spec, document, upsert)
+        return {"ok": 1.0, "n": done.matched_count or int(done.upserted_id is not None), "nModified": done.modified_count, "updatedExisting": done.matched_count > 0, "upserted": done.upserted_id}
+
+    def remove(self, spec_or_id=None, multi: bool = True) -> dict:
+        spec = {} if spec_or_id is None else spec_or_id if isinstance(spec_or_id, dict) else {"_id": spec_or_id}
+        return {"ok": 1.0, "n": self._delete(spec, multi).deleted_count}
+
+    def insert_one(self, document: dict, **more) -> InsertResult:
+        _refuse(more)
         if not isinstance(document, dict):
             raise TypeError("document must be a mapping")
         try:
@@ -377,8 +451,9 @@ class Collection:
         except BulkWriteError as e:
             raise DuplicateKeyError(e.details["writeErrors"][0]["errmsg"]) from None
 
-    def insert_many(self, documents: Iterable[dict], ordered: bool = True, **_) -> InsertResult:
+    def insert_many(self, documents: Iterable[dict], ordered: bool = True, **more) -> InsertResult:
         """A caller's list; an ordered one stops at its first duplicate, another one skips duplicates."""
+        _refuse(more)
         documents = list(documents)
         if not documents:
             raise TypeError("documents must be a non-empty list")
@@ -389,10 +464,12 @@ class Collection:
         t = T.StructType([T.StructField("_id", T.NullType())])
         for d in documents:
             t = merged(t, inferred(d))
+        if self.database.client.schemaless:
+            t = T.StructType([f if f.name == "_id" else T.StructField(f.name, T.VariantType()) for f in t])
         base = self._numbered() if self._df is not None else None
         if base is not None:  # numbers as the table has them
             t = T.StructType([f for f in merged(T.StructType([f for f in base.schema if not f.name.startswith("__")]), t) if f.name in t.fieldNames()])
-        rows = self._spark.createDataFrame([_row(d, t) + (i,) for i, d in enumerate(documents)], T.StructType([*t, T.StructField("__seq", T.LongType())]))
+        rows = self._spark.createDataFrame([_record(d, t) + (i,) for i, d in enumerate(documents)], T.StructType([*t, T.StructField("__seq", T.LongType())]))
         taken = self._taken(base, rows)
         errors, kept = [], []
         for i in range(len(documents)):
@@ -413,14 +490,14 @@ class Collection:
         """For each unique key the places of the list whose key is in the table or earlier in the list."""
         out = {}
         for name, index, keys in self._unique_keys():
-            new = self._keyed(rows, index, keys)
+            new = self._keyed(rows, index, keys, base)
             if new is None:
                 continue
             cols = [f"__u{i}" for i in range(len(keys))]
             firsts = new.groupBy(*cols).agg(F.min("__seq").alias("__first"))
             on = [new[c].eqNullSafe(firsts[c]) for c in cols]
             bad = {r[0] for r in new.join(firsts, on).where(new["__seq"] > firsts["__first"]).select(new["__seq"]).collect()}
-            old = self._keyed(base, index, keys) if base is not None else None
+            old = self._keyed(base, index, keys, rows) if base is not None else None
             if old is not None:
                 there = old.select(*(F.col(c).alias(f"__o{c}") for c in cols))
                 bad |= {r[0] for r in new.join(there, [new[c].eqNullSafe(there[f"__o{c}"]) for c in cols], "left_semi").select("__seq").collect()}
@@ -461,7 +538,8 @@ class Collection:
             if name not in state:
                 differs = differs | v.col.isNotNull()
             elif v is not state[name]:
-                differs = differs | ~v.col.eqNullSafe(retyped(state[name], v.type))
+                old, new_col = retyped(state[name], v.type), v.col
+                differs = differs | ~((mixed.key(new_col) == mixed.key(old)) & (new_col.isNull() == old.isNull()) if is_mixed(v.type) else new_col.eqNullSafe(old))
         done = cut(df.select(*(v.col.alias(n) for n, v in new.items()), "__seq", match.alias("__match"), (match & differs).alias("__differs")))
         matched, modified = done.agg(F.count_if("__match"), F.count_if("__differs")).first()
         if matched:
@@ -547,8 +625,9 @@ class Collection:
         return None if first is None else first[0]
 
     def _at(self, seq: int, projection) -> dict | None:
-        row = find_project(self._df.where(F.col("__seq") == seq), projection).drop("__seq").first()
-        return row.asDict(recursive=True) if row else None
+        df = find_project(self._df.where(F.col("__seq") == seq), projection).drop("__seq")
+        row = df.first()
+        return mixed.document(row, df.schema) if row else None
 
     def find_one_and_delete(self, filter: dict, projection=None, sort=None) -> dict | None:
         seq = self._pick(filter, sort)
@@ -575,6 +654,26 @@ class Collection:
     def find_one_and_replace(self, filter: dict, replacement: dict, projection=None, sort=None, upsert: bool = False, return_document: bool = BEFORE) -> dict | None:
         return self._find_and(lambda seq: self.replace_one(filter, replacement, upsert, seq), filter, projection, sort, upsert, return_document)
 
+    def find_and_modify(self, query: dict | None = None, update: dict | None = None, upsert: bool = False, sort=None, fields=None, remove: bool = False, new: bool = False) -> dict | None:
+        if new and remove:
+            raise OperationFailure("remove and returnNew can't co-exist")
+        if not (remove or update):
+            raise ValueError("Must either update or remove")
+        if remove and update:
+            raise ValueError("Can't do both update and remove")
+        if remove:
+            return self.find_one_and_delete(query or {}, fields, sort)
+        change = self.find_one_and_update if next(iter(update)).startswith("$") else self.find_one_and_replace
+        return change(query or {}, update, fields, sort, upsert, AFTER if new else BEFORE)
+
+    def group(self, key, condition, initial, reduce, finalize=None):
+        raise OperationFailure("no such command: 'group'")
+
+    def with_options(self, codec_options=None, read_preference=None, write_concern=None, read_concern=None) -> Collection:
+        """The same documents under other options; they are kept and change nothing here."""
+        options = {k: v for k, v in {"codec_options": codec_options, "read_preference": read_preference, "write_concern": write_concern, "read_concern": read_concern}.items() if v is not None}
+        return _View(self, options) if options else self
+
     def bulk_write(self, requests: list, ordered: bool = True) -> BulkResult:
         if not requests:
             raise InvalidOperation("No operations to execute")
@@ -625,11 +724,23 @@ class Collection:
                 raise
         return name
 
+    def ensure_index(self, keys, cache_for: int = 300, **options) -> str:
+        return self.create_index(keys, **options)
+
+    def create_indexes(self, indexes: list[IndexModel]) -> list[str]:
+        for i in indexes:
+            if not isinstance(i, IndexModel):
+                raise TypeError(f"{i!r} is not an IndexModel")
+        return [self.create_index(i.keys, i.name, **i.options) for i in indexes]
+
+    def reindex(self) -> None:
+        """Indexes are read from the documents, so there is nothing to build."""
+
     def index_information(self) -> dict[str, dict]:
-        return ({"_id_": {"key": [("_id", 1)]}} if self._made else {}) | self._indexes
+        return {n: i | {"v": 2} for n, i in (({"_id_": {"key": [("_id", 1)]}} if self._made else {}) | self._indexes).items()}
 
     def list_indexes(self) -> Iterator[dict]:
-        return iter([{"name": n} | i for n, i in self.index_information().items()])
+        return iter([i | {"key": dict(i["key"]), "name": n} for n, i in self.index_information().items()])
 
     def drop_index(self, which) -> None:
         name = which if isinstance(which, str) else "_".join(f"{k}_{d}" for k, d in which)
@@ -640,10 +751,30 @@ class Collection:
         self._indexes = {}
 
 
+class _View(Collection):
+    """A collection under other options."""
+
+    def __init__(self, of: Collection, options: dict):
+        self.__dict__.update(database=of.database, name=of.name, _of=of, options=options)
+
+    def __setattr__(self, name: str, value) -> None:
+        setattr(self._of, name, value)
+
+    _df = property(lambda self: self._of._df)
+    _made = property(lambda self: self._of._made)
+    _indexes = property(lambda self: self._of._indexes)
+
+
 def _refuse(options: dict) -> None:
     for name, v in options.items():
-        if v is not None and name != "bypass_document_validation":
-            raise NotImplementedError(f"the option {name} is not supported")
+        if name in ("session", "collation", "array_filters", "let"):
+            features.refuse(name, v)
+        elif name not in ("bypass_document_validation", "hint", "manipulate", "check_keys"):
+            raise TypeError(f"unexpected option {name}")
+
+
+#: Options of a read that say how to run it, which is Spark's matter here.
+_HINTS = {"no_cursor_timeout", "cursor_type", "allow_partial_results", "oplog_replay", "modifiers", "batch_size", "manipulate", "collation", "max_time_ms", "allow_disk_use", "hint"}
 
 
 def _state(df: DataFrame) -> dict[str, Val]:
@@ -660,8 +791,15 @@ def _as(df: DataFrame, t: T.StructType) -> DataFrame:
     return df.select(*(retyped(Val(F.col(f"`{f.name}`"), own[f.name]) if f.name in own else Val(None), f.dataType).alias(f.name) for f in t), "__seq")
 
 
+def _record(document: dict, t: T.StructType) -> tuple:
+    """A document as a row; what it lacks of fields of mixed types is missing, not null."""
+    return tuple(_row(document.get(f.name), f.dataType) if f.name in document or not is_mixed(f.dataType) else None for f in t)
+
+
 def _row(value, t: T.DataType):
     """A Python value as createDataFrame wants it for a type."""
+    if is_mixed(t):
+        return mixed.encoded(value)
     if value is None:
         return None
     if isinstance(t, T.StructType):

@@ -73,3 +73,10 @@ class DeleteOne:
 @dataclass(frozen=True)
 class DeleteMany:
     filter: dict
+
+
+class IndexModel:
+    """An index to make, for create_indexes."""
+
+    def __init__(self, keys, name: str | None = None, **options):
+        self.keys, self.name, self.options = keys, name, options

@@ -97,8 +97,11 @@ def test_insert(db):
     assert ids(c.find()) == [1, 2, 5, 6]
     c.insert_one({"_id": 7, "new": 1.5})
     assert c.find_one(7) == {"_id": 7, "new": 1.5}
-    with pytest.raises(WriteError):
-        c.insert_one({"_id": 8, "new": "text"})
+    c.insert_one({"_id": 8, "new": "text"})
+    c.insert_one({"_id": "8", "new": None})
+    assert c.find_one(8)["new"] == "text" and c.find_one("8") == {"_id": "8", "new": None} and c.find_one(7)["new"] == 1.5
+    with pytest.raises(DuplicateKeyError):
+        c.insert_one({"_id": 8})
     d = {"x": 1}
     db["d"].insert_one(d)
     assert db["d"].find_one({"x": 1})["_id"] == d["_id"]
