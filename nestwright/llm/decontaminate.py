@@ -47,7 +47,8 @@ def prefixed(windows: DataFrame, keyed: DataFrame) -> DataFrame:
     """Distinct windows with their rarest word p and its offset o."""
     distinct = windows.select("w").distinct()
     vocabulary = distinct.select(F.explode("w").alias("p")).distinct()
-    counts = keyed.select(F.explode("words").alias("p")).groupBy("p").agg(F.count("*").alias("n")).join(vocabulary, "p", "left_semi")
+    # An inner join: a semi join would be pushed below the count, and every word of the corpus would be shuffled.
+    counts = keyed.select(F.explode("words").alias("p")).groupBy("p").agg(F.count("*").alias("n")).join(vocabulary, "p")
     ranked = distinct.select("w", F.posexplode("w").alias("o", "p")).join(counts, "p", "left").select("w", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p", "o").alias("x"))
     best = ranked.groupBy("w").agg(F.min("x").alias("x")).where("x.n > 0")
     return C.materialize(best.select("w", F.col("x.p").alias("p"), F.col("x.o").alias("o"), F.size("w").alias("len")))
@@ -71,7 +72,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, most_prefix_word
 
 def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, h1, h2, n_hit (words inside occurrences), item_ids (sorted as strings) of documents with an occurrence."""
-    found = C.materialize(hits(docs, items, size))
+    with C.scratch() as keep:
+        found = C.materialize(hits(docs, items, size))
+        keep.append(found)
     # Occurrences of a document are bounded by its words; items are counted apart.
     spans = found.groupBy("doc_id", "h1", "h2").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("s"))
     covered = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["start"] + x["len"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["start"] + x["len"]).alias("end")), lambda a: a["n"].cast("bigint"))
@@ -83,9 +86,7 @@ def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns."""
-    bad = judged(docs, items, size).select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
-    h1, h2 = C.text_key(F.col("text").cast("string"))
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2")), "left_anti")
+    return C.packed(docs).join(C.named(judged(docs, items, size).select("doc_id", "h1", "h2")), C.met(), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles (words between ASCII spaces, A
 equal sets are one class, so copies never meet in a join. Classes get MinHash samples; rows of samples form bands,
 and folding one-permutation samples into a parity bitmap gives an odd sketch. Candidates come from the bands: every class is
 held against the least class of its bucket (a star, linear in the bucket), then, where a bucket still holds several
-components, against members of the largest of them, drawn anew in a few more rounds; only classes that are in different
-components after that though they share a bucket are held against each other. The number of ones in
-the XOR of two sketches estimates their similarity and rejects the hopeless; the rest is confirmed on full sets.
+components, against members of the largest of them, drawn anew in a few more rounds; classes that are in different components after that though they share a bucket are held
+against each other in blocks: BLOCK classes of a bucket against the rest of it, then, with the components joined anew,
+the next ones, until every pair has met or is in one component. The number of ones in the XOR of two sketches estimates their similarity and rejects the hopeless; the rest is confirmed on full sets.
 
 Nulls and empty texts have an empty set, are linked with nothing and are their own component. Repeated rows share a
 class and a component. A text of fewer words than a shingle is one shingle. Extra columns are ignored by the
@@ -31,6 +31,8 @@ BANDS, ROWS = 48, 5
 BIN_BITS, SKETCH_BITS, DEVIATIONS = 11, 2048, 4.4
 #: Rounds of stars, the centres drawn for each bucket in a round, and the rows up to which the classes to confirm are broadcast.
 STAR_ROUNDS, CENTRES, BROADCAST_ROWS = 1, 3, 200_000
+#: Classes of a bucket that are held against the rest of it at a time.
+BLOCK = 64
 _SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**31, _SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -120,7 +122,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = C.by(both, "a").agg(F.min("b").alias("m")).select("key.a", F.least("m", "key.a").alias("m"))
         met = both.join(least, "a")
         if large:
             return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -129,7 +131,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = C.materialize(links.select("a", "b").where("a <> b").distinct())
     mark = None
     for _ in range(rounds):
-        edges = C.materialize(star(star(edges, True), False))
+        old, edges = edges, C.materialize(star(star(edges, True), False))
+        C.release(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -178,6 +181,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHIN
 
 def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
     """near_duplicates with the root of each row's component (null for an empty set)."""
+    with C.scratch() as keep:
+        return _joined(docs, similarity, k, keep)
+
+
+def _joined(docs: DataFrame, similarity: int, k: int, keep: list[DataFrame]) -> DataFrame:
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string"})
     h1, h2 = C.text_key(F.col("text"))
     keyed = rows.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
@@ -187,7 +195,7 @@ def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
     classes = C.materialize(signed.where("node is not null").groupBy("node").agg(first.alias("f"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n")).select("node", "least", "f.*", "bands", "sketch", "bins", "n"))
     reps = classes.select("node", "doc_id", "h1", "h2")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1").drop("n")
+    crowds = C.by(banded, "band").agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1").select("key.band", "lo")
     members = C.materialize(banded.join(crowds, "band"))
     marks = classes.select("node", "n", "bins", "sketch")
 
@@ -198,10 +206,9 @@ def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
     def held(roots: DataFrame, buckets: DataFrame) -> DataFrame:
         """Members of the buckets that still hold several components, with their roots."""
         placed = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(1)).alias("size"))
-        mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+        mixed = C.by(placed, "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key.band")
         return C.materialize(placed.join(mixed, "band"))
 
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
         """roots (node, root, n: classes of the component) after more links, by joining components instead of classes."""
         if roots is None:
@@ -213,7 +220,7 @@ def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
             kept = roots.select("node", "root").join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             found = kept.unionByName(moved.select("node", "root").join(roots.select("node"), "node", "left_anti"))
         found = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
-        return C.materialize(found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", "n"))
+        return C.materialize(found.join(C.by(found, "root").agg(F.count("*").alias("n")).select("key.root", "n"), "root").select("node", "root", "n"))
 
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = members.where("node <> lo").select(F.col("node").alias("b"), F.col("lo").alias("a")).distinct()
@@ -224,18 +231,26 @@ def _placed(docs: DataFrame, similarity: int, k: int) -> DataFrame:
             break
         # In each bucket members of its largest component, drawn anew, against the members of all others.
         by = lambda i: F.struct(F.col("size"), F.col("root"), F.xxhash64("band", "node", F.lit(turn), F.lit(i)))
-        centre = open_.groupBy("band").agg(*(F.max_by(F.struct("node", "root"), by(i)).alias(f"c{i}") for i in range(CENTRES)))
+        centre = C.by(open_, "band").agg(*(F.max_by(F.struct("node", "root"), by(i)).alias(f"c{i}") for i in range(CENTRES))).select("key.band", *(f"c{i}" for i in range(CENTRES)))
         met = open_.join(centre, "band").where("c0.root <> root").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*(F.col(f"c{i}.node") for i in range(CENTRES))))).alias("b")).select(*ordered).distinct()
         roots = merged(roots, _confirmed(judged(met), docs, reps, similarity, k))
         open_ = held(roots, open_)
-    # What is left: each class against those of other components in its buckets.
-    x, y = (open_.join(classes.select("node", "n", "bins", "sketch", "bands"), "node").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "bins", "sketch", "bands"))) for s in "xy")
-    shared = F.element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1)  # a pair meets in its first bucket only
-    across = x.join(y, "band").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _plausible("x", "y", similarity) & (F.col("band") == shared))
-    more = _confirmed(C.materialize(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))), docs, reps, similarity, k)
-    whole = merged(roots, more).select("node", "root")
+    # What is left, in blocks: the classes of a bucket's block against those of the same block and later ones.
+    size = C.by(open_, "band").agg(F.count("*").alias("held")).select("key.band", "held")
+    blocks = C.materialize(open_.join(size, "band").select("band", "node", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("held") / BLOCK).cast("bigint")).alias("block")))
+    last = blocks.agg(F.max("block")).first()[0]
+    for block in range(-1 if last is None else last + 1):
+        todo = held(roots, blocks.where(F.col("block") >= block)).join(blocks, ["band", "node"])
+        x, y = (todo.where(F.col("block") == block if s == "x" else F.col("block") >= block).join(classes.select("node", "n", "bins", "sketch", "bands"), "node").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "block", "n", "bins", "sketch", "bands"))) for s in "xy")
+        shared = F.element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1)  # a pair meets in its first bucket only
+        once = (F.col("block_y") > block) | (F.col("node_x") < F.col("node_y"))
+        across = x.join(y, "band").where(once & (F.col("root_x") != F.col("root_y")) & _plausible("x", "y", similarity))
+        pairs = across.where(F.col("band") == shared).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        roots = merged(roots, _confirmed(C.materialize(pairs), docs, reps, similarity, k))
+    keep += [signed, classes, roots]
+    whole = roots.select("node", "root")
     joined = classes.select("node", "least").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = C.by(joined, "root").agg(F.min("least").alias("component_id")).select("key.root", "component_id")
     ids = joined.join(least, "root").select("node", "root", "component_id")
     out = signed.select("doc_id", "h1", "h2", "n_shingles", "node").join(ids, "node", "left")
     return out.select("doc_id", "h1", "h2", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
@@ -260,16 +275,14 @@ def keep_first(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("f")).select("f.*")
     empty = found.where("root is null").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2").distinct()
     names = least.select("doc_id", "h1", "h2", F.lit(False).alias("lone")).unionByName(empty.select("doc_id", "h1", "h2", F.col("no_id").alias("lone")))
-    keys = names.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lone").alias("__lone"))
-    h1, h2 = C.text_key(F.col("text").cast("string"))
-    kept = docs.join(keys, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2")))
-    copies = kept.where("not __lone").groupBy("__id", "__h1", "__h2").count().where("count > 1")
-    if copies.isEmpty():
-        return kept.select(*docs.columns)
-    # Empty texts without an id are nobody's copies: each gets a number, so that none shares its window with another.
-    number = F.when(F.col("__lone"), F.monotonically_increasing_id())
-    row = Window.partitionBy("__id", "text", "__row").orderBy("text")
-    return kept.withColumn("__row", number).withColumn("__n", F.row_number().over(row)).where("__n = 1").select(*docs.columns)
+    kept = C.packed(docs).join(C.named(names), C.met())
+    copies = kept.where("not lone").groupBy("k_id", "k_h1", "k_h2").count().where("count > 1")
+    if not copies.isEmpty():
+        # Empty texts without an id are nobody's copies: each gets a number, so that none shares its window with another.
+        number = F.when(F.col("lone"), F.monotonically_increasing_id())
+        row = Window.partitionBy("k_id", "h1", "h2", "number").orderBy("h1")
+        kept = kept.withColumn("number", number).withColumn("at", F.row_number().over(row)).where("at = 1")
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
