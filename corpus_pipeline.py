@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nestwright.llm import decontaminate, near_dedup, packing, quality_classifier, secrets
-from nestwright.llm.common import materialize, table
+from nestwright.llm.common import materialize, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +34,17 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
-#: Two stages rest on learnt models and on tokens, which SQL doesn't have; tests hold stages against brute force.
+#: The classifier's model and the tokenizer aren't SQL; tests/llm holds every stage and the whole run against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents; what a stage wrote for itself goes with the stage."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scratch() as keep:
+            docs = materialize(stage(spark, docs, sf_dir))
+            keep.append(docs)
     return docs
