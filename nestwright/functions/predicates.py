@@ -225,7 +225,10 @@ def operator(name: str, v: Val, arg, spec: dict, env: Env) -> Column:
             if k == "null" and not v.missing and is_mixed(v.type):
                 out = out | _any(v, lambda x: F.is_variant_null(x.col))
                 continue
-            if k in ("undefined", "objectId", "null", "regex", "dbPointer", "javascript", "symbol", "javascriptWithScope", "timestamp", "minKey", "maxKey"):
+            if k == "objectId":  # ids are made as texts of 24 hexadecimal digits
+                out = out | (F.lit(False) if v.missing else _search(v, "^[0-9a-f]{24}$", ""))
+                continue
+            if k in ("undefined", "null", "regex", "dbPointer", "javascript", "symbol", "javascriptWithScope", "timestamp", "minKey", "maxKey"):
                 raise NotImplementedError(f"the type {k} is not supported")
             if k not in _TYPES:
                 raise OperationFailure(f"{k} is not a valid $type")

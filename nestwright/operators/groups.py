@@ -179,7 +179,9 @@ def group(df: DataFrame, spec: dict, order: Order, by_key: bool = True) -> DataF
     loose = not v.missing and has_mixed(v.type)
     made = _aggregated(df, F.lit(None).cast("string") if v.missing else comparable_key(v) if loose else v.col, rest, order, v.col if loose else None)
     made = made.orderBy(F.col("__id").asc_nulls_first()) if by_key else made
-    return made.select(*(F.col(f"`{k}`") for k in rest), F.col("__value" if loose else "__id").alias("_id"))
+    key = F.col("__value" if loose else "__id")
+    key = F.coalesce(key, F.parse_json(F.lit("null"))) if loose and is_mixed(v.type) else key  # a missing key is null
+    return made.select(*(F.col(f"`{k}`") for k in rest), key.alias("_id"))
 
 
 def has_mixed(t: T.DataType | None) -> bool:

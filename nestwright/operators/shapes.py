@@ -140,17 +140,19 @@ def unwind(df: DataFrame, spec) -> DataFrame:
     v = step(Val(F.col(f"`{head}`"), types[head]), rest, False) if head in types else Val(None)
     if v.missing:
         return df.withColumn(index, F.lit(None).cast("bigint")) if keep and index else df if keep else df.limit(0)
-    if is_mixed(v.type):  # what is no array is one row
+    array = F.lit(True)
+    if is_mixed(v.type):  # what is no array is one row without an index
         if rest:
             raise NotImplementedError("a member of a field of mixed types can't be unwound")
-        listed = F.coalesce(mixed.elements(v.col), F.when(~mixed.is_null(v.col), F.array(v.col)))
+        array = mixed.rank_of(v.col) == 25
+        listed = F.coalesce(mixed.elements(v.col), F.when(v.col.isNotNull() if keep else ~mixed.is_null(v.col), F.array(v.col)))
         v = Val(listed, T.ArrayType(T.VariantType()))
     if not isinstance(v.type, T.ArrayType):
         out = df if keep else df.where(v.col.isNotNull())
         return out.withColumn(index, F.lit(None).cast("bigint")) if index else out
-    rows = df.withColumn("__at", F.when(F.size(v.col) > 0, v.col))
+    rows = df.withColumn("__at", F.when(F.size(v.col) > 0, v.col)).withColumn("__array", array)
     rows = rows.select("*", (F.posexplode_outer if keep else F.posexplode)("__at").alias("__pos", "__item")).drop("__at")
     rows = rows.withColumn(head, put(Val(F.col(f"`{head}`"), types[head]), rest, F.col("__item")))
     if index:
-        rows = rows.withColumn(index, F.col("__pos").cast("bigint"))
-    return rows.drop("__pos", "__item")
+        rows = rows.withColumn(index, F.when(F.col("__array"), F.col("__pos").cast("bigint")))
+    return rows.drop("__pos", "__item", "__array")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestwright.errors import OperationFailure
+from nestwright.functions import mixed
 from nestwright.functions.expressions import Val, compile_expression
+from nestwright.functions.mixed import is_mixed
 from nestwright.functions.predicates import compile_filter
 from nestwright.operators import groups, joins, shapes
 from nestwright.operators.shapes import env_of, hidden, shown
@@ -144,6 +146,9 @@ def sort_keys(df: DataFrame, spec: dict, adds: bool) -> tuple[DataFrame, list, g
         if v.missing:
             continue
         cols = [groups.comparable_key(v) if groups.has_mixed(v.type) else v.col]
+        if is_mixed(v.type):  # arrays as below
+            listed = mixed.elements(v.col)
+            cols = [F.when(F.size(listed) == 0, 0).otherwise(1), mixed.key(F.coalesce(F.get(listed, F.lit(0)), v.col))]
         if isinstance(v.type, T.ArrayType):  # empty before null, otherwise by the first element
             cols = [F.when(F.size(v.col) == 0, 0).otherwise(1), F.get(v.col, F.lit(0))]
         for m, c in enumerate(cols):

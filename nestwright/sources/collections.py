@@ -677,12 +677,15 @@ class Collection:
     def bulk_write(self, requests: list, ordered: bool = True) -> BulkResult:
         if not requests:
             raise InvalidOperation("No operations to execute")
-        out, errors = BulkResult(), []
-        for i, r in enumerate(requests):
+        out, errors, i = BulkResult(), [], 0
+        while i < len(requests) and not (errors and ordered):
+            r, n = requests[i], 1
             try:
-                if isinstance(r, InsertOne):
-                    self.insert_one(r.document)
-                    out.inserted_count += 1
+                if isinstance(r, InsertOne):  # inserts in a row are one write
+                    while i + n < len(requests) and isinstance(requests[i + n], InsertOne):
+                        n += 1
+                    self.insert_many([x.document for x in requests[i : i + n]], ordered)
+                    out.inserted_count += n
                 elif isinstance(r, DeleteOne | DeleteMany):
                     out.deleted_count += self._delete(r.filter, isinstance(r, DeleteMany)).deleted_count
                 elif isinstance(r, UpdateOne | UpdateMany | ReplaceOne):
@@ -693,10 +696,12 @@ class Collection:
                         out.upserted_ids[i] = done.upserted_id
                 else:
                     raise TypeError(f"{r!r} is not a valid request")
+            except BulkWriteError as e:
+                out.inserted_count += e.details["nInserted"]
+                errors += [x | {"index": i + x["index"]} for x in e.details["writeErrors"]]
             except WriteError as e:
                 errors.append({"index": i, "errmsg": str(e)})
-                if ordered:
-                    break
+            i += n
         if errors:
             raise BulkWriteError({"writeErrors": errors, "nInserted": out.inserted_count, "nMatched": out.matched_count, "nModified": out.modified_count, "nRemoved": out.deleted_count, "nUpserted": out.upserted_count})
         return out

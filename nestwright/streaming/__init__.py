@@ -1 +1 @@
-"""Part of the engine."""
+"""Pipelines over Structured Streaming sources."""

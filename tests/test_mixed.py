@@ -52,7 +52,7 @@ def test_filters(mixed, test, want):
 
 
 def test_sort_goes_by_type_first(mixed):
-    assert ids(mixed.find().sort("v", 1)) == [0, 50, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert ids(mixed.find().sort("v", 1)) == [0, 50, 1, 7, 2, 3, 4, 5, 6, 8, 9, 10, 11]  # an array by its first element
     assert ids(mixed.find().sort([("v", -1), ("_id", -1)]))[-2:] == [50, 0]
     assert ids(mixed.aggregate([{"$sort": {"v": -1}}, {"$limit": 3}])) == [11, 10, 9]
 
@@ -141,3 +141,35 @@ def test_features(spark):
         c.find({}, session=object())
     with pytest.raises(KeyError):
         features.ignore_feature("nothing")
+
+
+def test_order_of_all_kinds(spark):
+    """Empty arrays, then null and missing, numbers, texts, objects, arrays in arrays, bytes, truth values and times; other
+    arrays by their first element."""
+    c = Client(spark, schemaless=True)["d"]["order"]
+    kinds = [("bool", True), ("date", DAY), ("object", {"a": 1}), ("empty", []), ("int", 1), ("nested", [[1, 2], [3, 4]]), ("null", None), ("numbers", [1, 2]), ("text", "a"), ("bytes", b"a"), ("more", 7.5)]
+    c.insert_many([{"kind": k, "a": v} for k, v in kinds] + [{"kind": "missing"}])
+    up = [d["kind"] for d in c.find({}, sort=[("a", 1), ("kind", 1)])]
+    assert up == ["empty", "missing", "null", "int", "numbers", "more", "text", "object", "nested", "bytes", "bool", "date"]
+    assert [d["kind"] for d in c.find({}, sort=[("a", -1), ("kind", -1)])] == up[::-1]
+
+
+def test_sums_over_mixed_data(spark):
+    c = Client(spark)["d"]["sums"]
+    c.insert_many([{"g": "x"}, {"g": "x"}, {"g": "x", "d": None}, {"g": "x", "d": 0}, {"g": "x", "d": 5}, {"g": "x", "d": {"a": 1}}, {"g": "x", "d": [1]}, {"g": "x", "d": [7, 8]}])
+    got = list(c.aggregate([{"$group": {"_id": "$g", "n": {"$sum": 1}, "truthy": {"$sum": {"$cond": ["$d", 1, 0]}}, "there": {"$sum": {"$cond": {"if": {"$gt": ["$d", None]}, "then": 1, "else": 0}}}, "sum": {"$sum": "$d"}}}]))
+    assert got == [{"_id": "x", "n": 8, "truthy": 4, "there": 5, "sum": 5}]
+
+
+def test_missing_group_key_is_null(spark):
+    for schemaless in (False, True):
+        c = Client(spark, schemaless=schemaless)["d"]["keys"]
+        c.insert_many([{"a": 1}, {}, {"a": None}])
+        assert [d["_id"] for d in c.aggregate([{"$group": {"_id": "$a"}}])] == [None, 1]
+
+
+def test_unwind_of_mixed_sizes(spark):
+    c = Client(spark)["d"]["sizes"]
+    c.insert_many([{"_id": 1, "s": ["S", "M"]}, {"_id": 2, "s": []}, {"_id": 3, "s": "L"}, {"_id": 4}, {"_id": 5, "s": None}, {"_id": 6, "s": False}])
+    assert list(c.aggregate([{"$unwind": {"path": "$s", "includeArrayIndex": "i"}}])) == [{"_id": 1, "s": "S", "i": 0}, {"_id": 1, "s": "M", "i": 1}, {"_id": 3, "s": "L", "i": None}, {"_id": 6, "s": False, "i": None}]
+    assert list(c.aggregate([{"$unwind": {"path": "$s", "preserveNullAndEmptyArrays": True}}])) == [{"_id": 1, "s": "S"}, {"_id": 1, "s": "M"}, {"_id": 2}, {"_id": 3, "s": "L"}, {"_id": 4}, {"_id": 5, "s": None}, {"_id": 6, "s": False}]
