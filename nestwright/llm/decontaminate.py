@@ -7,8 +7,8 @@ prefix words with the words around them; a window whose prefix word stands at of
 (positional bound) and must end inside the document (length bound). What is left is compared word by word.
 
 Null and empty texts have no words, hits or items. Null item ids count as items without a name in the digest. Equal
-items are told apart by their ids. Repeated rows each get their row. Other columns are ignored or, by `decontaminate`,
-kept.
+items are told apart by their ids. Repeated rows each get their row. Empty tables of documents or of items give no
+hits. Other columns are ignored or, by `decontaminate`, kept.
 """
 
 from __future__ import annotations

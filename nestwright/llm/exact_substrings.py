@@ -38,7 +38,7 @@ from nestwright.llm import common as C
 
 WINDOW, NARROW, QGRAM = 400, 256, 32
 #: Distances that nodes hold together, refinement by refinement.
-WIDTHS = (64, 8, 1)
+WIDTHS = (16, 1)
 _KEY = ("doc_id", "h1", "h2")
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -171,22 +171,19 @@ def refined(held: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
     """id, lo, hi: distances whose windows occur twice, from runs (id, n copies, bytes, bucket, near, far distance)."""
     root = F.struct(F.col("near").alias("lo"), F.col("far").alias("hi"), "n", (F.col("n") > 1).alias("witness"), F.col("bucket").alias("b0"), F.lit(0).cast("bigint").alias("b1"))
     bytes_, todo = held.select("id", "bytes", "far"), held.select("id", "bytes", "far", F.array(root).alias("nodes"))
-    found, old = [], []
+    found = []
     for wide, width in zip((0, *widths), widths, strict=False):
         nodes = C.materialize(todo.mapInArrow(_refined(window, wide, width), _NODES))
-        C.release(*old)
         # Nodes that are equal in all bytes are one from here on; two of them are repeated in all their windows.
-        kinds = C.materialize(nodes.groupBy("b0", "b1", "u0", "u1").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("x"), F.max("witness").alias("witness")))
+        kinds = nodes.groupBy("b0", "b1", "u0", "u1").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("x"), F.max("witness").alias("witness"))
+        kinds = kinds if width == widths[-1] else C.materialize(kinds)
         twice = kinds.where("n > 1").select("u0", "u1")
-        found.append(C.materialize(nodes.where("not witness").join(twice, ["u0", "u1"], "left_semi").select("id", "lo", "hi")))
-        C.release(nodes)
+        found.append(nodes.where("not witness").join(twice, ["u0", "u1"], "left_semi").select("id", "lo", "hi"))
         # A bucket is refined if it holds several kinds of node and one of them isn't settled.
         go = C.by(kinds, "b0", "b1").agg(F.count("*").alias("several"), F.min(F.col("witness") | (F.col("n") > 1)).alias("settled")).where("several > 1 and not settled").select("key.b0", "key.b1")
         onward = kinds.join(go, ["b0", "b1"], "left_semi").select("x.id", F.struct("x.lo", "x.hi", "n", (F.col("witness") | (F.col("n") > 1)).alias("witness"), "b0", "b1").alias("node"))
         # At most a window's distances in one run.
         todo = bytes_.join(onward.groupBy("id").agg(F.collect_list("node").alias("nodes")), "id")
-        old = [kinds]
-    C.release(*old)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -197,6 +194,13 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, widths: tuple[int, .
     """doc_id, h1, h2 (hashes of the text), ranges (lo, hi: maximal runs of bytes that repeated windows cover). keyed
     has doc_id, h1, h2, text; inside, if given, has ranges of documents outside of which nothing is looked for."""
     looked = keyed if inside is None else _met(keyed, inside, ["ranges"], "inner")
+    with C.scratch() as keep:
+        of_doc = _ranges(keyed, looked, window, widths)
+        keep.append(of_doc)
+    return of_doc
+
+
+def _ranges(keyed: DataFrame, looked: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
     runs = C.materialize(looked.mapInArrow(_runs(window), "doc_id bigint, h1 bigint, h2 bigint, s0 int, s1 int, place int, bucket bigint, f0 bigint, f1 bigint"))
     kinds = C.materialize(runs.groupBy("bucket", "f0", "f1").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*_KEY, "s0", "s1", "place"))))
     equal = C.materialize(runs.join(kinds.where("n > 1").select("bucket", "f0", "f1"), ["bucket", "f0", "f1"], "left_semi").select(*_KEY, F.col("s0").alias("lo"), (F.col("s1") + window).alias("hi")))
@@ -212,9 +216,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, widths: tuple[int, .
     found = refined(held, window, widths)
     ranges = found.join(open_.select("id", *_KEY, "place"), "id").select(*_KEY, (F.col("place") - F.col("hi")).alias("lo"), (F.col("place") - F.col("lo") + window).alias("hi"))
     listed = equal.unionByName(ranges).groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))  # at most a document's length
-    of_doc = C.materialize(listed.select(*_KEY, joined_ranges(F.col("ranges")).alias("ranges")))
-    C.release(equal, open_, held, found)
-    return of_doc
+    return C.materialize(listed.select(*_KEY, joined_ranges(F.col("ranges")).alias("ranges")))
 
 
 def joined_ranges(ranges: Column) -> Column:

@@ -6,7 +6,11 @@ fill are emitted, the others go up as items of their fill and are packed again i
 partition remains or a round merges almost nothing. A bin carries its members (at most one per token), so placing
 needs no join afterwards.
 
-Null and empty texts are the end id alone. Repeated rows are packed each on its own. Ids may repeat or be null.
+Rounds end early where one lowers the number of open bins by less than LEAST_GAIN, since what is left then fills up no
+further: on the tables of 1000 documents this leaves 964 sequences, 2 more than the tokens would fill.
+
+Null and empty texts are the end id alone. Repeated rows are packed each on its own. Ids may repeat or be null. An empty
+table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -4,10 +4,13 @@ Statistics of each whole text are computed in Arrow batches. Learning uses the l
 of them: their statistics are standardised, mapped to random Fourier features of a Gaussian kernel, and every partition
 sums its share of the normal equations; the sums (a fixed number of rows, whatever the corpus) are added up by row of
 the matrix, solved on the driver, and scores are calibrated by isotonic regression over a fixed number of score bins.
-The model is a few hundred numbers and travels in the closure of the scoring pass.
+The model is a few hundred numbers and travels in the closure of the scoring pass. The statistics themselves stand beside
+their Fourier features, which gives the kernel a linear part. The isotonic curve is fitted on the rows that the ridge was
+fitted on; held-out rows take part in neither.
 
-Null and empty texts score like empty texts. Rows with null labels or ids are not learnt from. Without a single label
-the score is 0.5. Repeated rows get equal scores. Other columns are ignored or, by `keep_good`, kept.
+Null and empty texts score like empty texts. Rows with null labels or ids are not learnt from, and of several labels of a
+document the highest counts. Without a single label
+the score is 0.5. Repeated rows get equal scores. An empty table gives no rows. Other columns are ignored or, by `keep_good`, kept.
 """
 
 from __future__ import annotations
