@@ -5,12 +5,12 @@ equal sets are one class, so copies never meet in a join. Classes get MinHash sa
 and folding one-permutation samples into a parity bitmap gives an odd sketch. Candidates come from the bands: every class is
 held against the least class of its bucket (a star, linear in the bucket), then, where a bucket still holds several
 components, against members of the largest of them, drawn anew in a few more rounds; classes that are in different components after that though they share a bucket are held
-against each other in blocks: BLOCK classes of a bucket against the rest of it, then, with the components joined anew,
-the next ones, until every pair has met or is in one component. The number of ones in the XOR of two sketches estimates their similarity and rejects the hopeless; the rest is confirmed on full sets.
+against each other, those outside of a bucket's largest component against all of it. Where that is many pairs it is done
+in rounds, each with a part of these classes and with the components joined anew. The number of ones in the XOR of two sketches estimates their similarity and rejects the hopeless; the rest is confirmed on full sets.
 
 Nulls and empty texts have an empty set, are linked with nothing and are their own component. Repeated rows share a
 class and a component. A text of fewer words than a shingle is one shingle. Extra columns are ignored by the
-membership and kept by `keep_first`. Ids may repeat or be null: a component is told by its root class, not by its id.
+membership and kept by `keep_first`. An empty table gives no rows. Ids may repeat or be null: a component is told by its root class, not by its id.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ BANDS, ROWS = 48, 5
 BIN_BITS, SKETCH_BITS, DEVIATIONS = 11, 2048, 4.4
 #: Rounds of stars, the centres drawn for each bucket in a round, and the rows up to which the classes to confirm are broadcast.
 STAR_ROUNDS, CENTRES, BROADCAST_ROWS = 1, 3, 200_000
-#: Classes of a bucket that are held against the rest of it at a time.
-BLOCK = 64
+#: Pairs that one task may have to look at in a round of what the stars have left.
+PAIRS_A_TASK = 1_000_000
 _SAMPLES = BANDS * ROWS
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**31, _SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -235,18 +235,21 @@ def _joined(docs: DataFrame, similarity: int, k: int, keep: list[DataFrame]) ->
         met = open_.join(centre, "band").where("c0.root <> root").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*(F.col(f"c{i}.node") for i in range(CENTRES))))).alias("b")).select(*ordered).distinct()
         roots = merged(roots, _confirmed(judged(met), docs, reps, similarity, k))
         open_ = held(roots, open_)
-    # What is left, in blocks: the classes of a bucket's block against those of the same block and later ones.
-    size = C.by(open_, "band").agg(F.count("*").alias("held")).select("key.band", "held")
-    blocks = C.materialize(open_.join(size, "band").select("band", "node", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("held") / BLOCK).cast("bigint")).alias("block")))
-    last = blocks.agg(F.max("block")).first()[0]
-    for block in range(-1 if last is None else last + 1):
-        todo = held(roots, blocks.where(F.col("block") >= block)).join(blocks, ["band", "node"])
-        x, y = (todo.where(F.col("block") == block if s == "x" else F.col("block") >= block).join(classes.select("node", "n", "bins", "sketch", "bands"), "node").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "block", "n", "bins", "sketch", "bands"))) for s in "xy")
+    # What is left: in each bucket the classes outside of its largest component against all others, in rounds by class.
+    sizes = C.by(open_, "band", "root").agg(F.count("*").alias("n")).select("key.band", "key.root", "n")
+    most = C.by(sizes, "band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("held")).select("key.band", F.col("m.root").alias("major"), "held")
+    rest = C.materialize(open_.join(most, "band").select("band", "node", (F.col("root") == F.col("major")).alias("major"), "held"))
+    pairs = rest.where("not major").agg(F.sum("held")).first()[0] or 0
+    rounds = -(-pairs // (PAIRS_A_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for turn in range(rounds):
+        todo = held(roots, rest).join(rest.select("band", "node", "major"), ["band", "node"])
+        mine = ~F.col("major") & (F.pmod(F.xxhash64("node"), F.lit(rounds)) == turn)
+        x, y = (todo.where(mine if s == "x" else F.lit(True)).join(classes.select("node", "n", "bins", "sketch", "bands"), "node").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "major", "n", "bins", "sketch", "bands"))) for s in "xy")
         shared = F.element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1)  # a pair meets in its first bucket only
-        once = (F.col("block_y") > block) | (F.col("node_x") < F.col("node_y"))
-        across = x.join(y, "band").where(once & (F.col("root_x") != F.col("root_y")) & _plausible("x", "y", similarity))
-        pairs = across.where(F.col("band") == shared).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        roots = merged(roots, _confirmed(C.materialize(pairs), docs, reps, similarity, k))
+        once = F.col("major_y") | (F.col("node_x") < F.col("node_y"))
+        across = x.join(y, "band").where(once & (F.col("root_x") != F.col("root_y")) & _plausible("x", "y", similarity) & (F.col("band") == shared))
+        found = C.materialize(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+        roots = merged(roots, _confirmed(found, docs, reps, similarity, k))
     keep += [signed, classes, roots]
     whole = roots.select("node", "root")
     joined = classes.select("node", "least").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))

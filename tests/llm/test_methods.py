@@ -303,11 +303,11 @@ def linked(rows):
     return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize(("stars", "block"), [(1, 64), (0, 3)])
-def test_large_groups_of_near_copies(put, monkeypatch, stars, block):
-    """Groups that drift away from their first member, so that buckets stay mixed, in small blocks too."""
+@pytest.mark.parametrize(("stars", "pairs"), [(1, 1_000_000), (0, 20)])
+def test_large_groups_of_near_copies(put, monkeypatch, stars, pairs):
+    """Groups that drift away from their first member, so that buckets stay mixed, in several rounds too."""
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", stars)
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_TASK", pairs)
     r, text = random.Random(13), texts(13)
     rows = []
     for _ in range(3):
