@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from nestwright.functions.expressions import Val, compile_expression, step
 from nestwright.functions.predicates import compile_filter
 from nestwright.operators.shapes import env_of, shown, unwind
-from nestwright.sources.shared import cut
+from nestwright.sources.shared import cut, stable
 
 
 def _at(df: DataFrame, path: str) -> Val:
@@ -59,7 +59,7 @@ def lookup(df: DataFrame, spec: dict, foreign: DataFrame) -> DataFrame:
     right = _keys(foreign.withColumn("__doc", _whole(foreign)), remote, "__key")
     mine = _at(df, local)
     if not mine.missing and isinstance(mine.type, T.ArrayType):
-        df = _numbered(df)
+        df = stable(_numbered(df))
         pairs = df.select("__seq", _elements(mine).alias("__key")).join(right.select(F.col("__key").alias("__k"), F.col("__seq").alias("__rs"), "__doc"), F.col("__key").eqNullSafe(F.col("__k")))
         lists = pairs.groupBy("__seq").agg(F.array_sort(F.collect_set(F.struct("__rs", "__doc"))).alias("__l"))
         met = df.join(lists, "__seq", "left")
@@ -114,7 +114,7 @@ def counted(df: DataFrame, spec: dict, foreign: DataFrame) -> DataFrame:
 def graph_lookup(df: DataFrame, spec: dict, foreign: DataFrame) -> DataFrame:
     """Breadth first from startWith, level by level: a join on the frontier and an anti join on what was reached."""
     name, deepest, depth_field = spec["as"], spec.get("maxDepth"), spec.get("depthField")
-    foreign = _numbered(foreign)
+    df, foreign = stable(_numbered(df)), _numbered(foreign)
     if "restrictSearchWithMatch" in spec:
         foreign = foreign.where(compile_filter(spec["restrictSearchWithMatch"], env_of(foreign)))
     start = compile_expression(spec["startWith"], env_of(df))

@@ -18,3 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="nestwright-"))
     return df.checkpoint()
+
+
+#: Operators after which rows may come out in another order or in other partitions when a plan is computed again.
+_UNSTABLE = re.compile(r"\b(Aggregate|Join|Sort|Window|Repartition\w*|Rebalance\w*|Distinct|Sample|GlobalLimit|Offset)\b")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df with its row numbers alike whenever it is read: a scan numbers them so each time, anything with a shuffle in it
+    is checkpointed once."""
+    return cut(df) if _UNSTABLE.search(df._jdf.queryExecution().optimizedPlan().toString()) else df
