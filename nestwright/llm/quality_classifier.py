@@ -174,7 +174,7 @@ def _scored(model: Model):
 def scores(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit(docs, labels, target)
-    found = C.void_safe(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(_scored(model), "doc_id bigint, score double")
+    found = C.materialize(C.void_safe(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(_scored(model), "doc_id bigint, score double"))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality", least
         for batch, data, offsets in C.sliced(batches):
             yield batch.filter(pa.array(model.score(statistics(data, offsets).astype(np.float64)) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return C.materialize(docs.mapInArrow(keep, docs.schema))  # written here, in small Arrow batches
 
 
 def query(spark, sf_dir: str) -> DataFrame:

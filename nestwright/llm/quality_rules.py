@@ -7,7 +7,7 @@ without a list of common words is held against all documents together, by charac
 number of words a histogram says nothing and its test passes.
 
 Null and empty texts have no words and fail the base. Null languages count as unlisted. Repeated rows fare alike.
-Columns other than doc_id, text and lang are ignored.
+An empty table gives no rows. Columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,18 @@ COMMON = {
 }
 
 
-def _windows(words: Column, size: int = WINDOW) -> Column:
-    """Hash of every window of `size` words."""
-    n = F.size(words)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(hashes: Column, size: int = WINDOW) -> Column:
+    """Hash of every window of `size` words, a power of two, from their hashes: of pairs of neighbours, and so on."""
+    paired = lambda step: lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(F.size(h) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    out, step = hashes, 1
+    while step < size:
+        out, step = _let(out, paired(step)), step * 2
+    return _let(out, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(0))))
 
 
 def _repeats(rows: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -63,17 +71,19 @@ def distance(p: Column, q: Column) -> Column:
 def measured(docs: DataFrame, common: dict[str, list[str]] = COMMON) -> DataFrame:
     """doc_id, lang (null if unlisted), the counts, and the histograms `classes` and `words_hist`."""
     rows = C.void_safe(docs, {"doc_id": "bigint", "text": "string", "lang": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
-    lists = F.create_map(*(x for lang, w in sorted(common.items()) for x in (F.lit(lang), F.array(*map(F.lit, w)))))
-    split = rows.select("doc_id", "text", F.when(F.col("lang").isin(*common), F.col("lang")).alias("lang"), F.array_remove(F.split("text", SPACES), "").alias("words")).withColumn("common", F.element_at(lists, F.col("lang")))
+    lists = F.create_map(*(x for lang, w in sorted(common.items()) for x in (F.lit(lang), F.array(*(F.xxhash64(F.lit(x)) for x in w)))))
+    split = rows.select("doc_id", "text", F.when(F.col("lang").isin(*common), F.col("lang")).alias("lang"), F.array_remove(F.split("text", SPACES), "").alias("words"))
+    split = split.select("*", F.element_at(lists, F.col("lang")).alias("common"), F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"))
     only = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", ""))
-    # A common word becomes a letter, so that one short string per document holds all that is counted.
-    letter = lambda w: F.coalesce(F.substring(F.lit(_LETTERS), F.array_position("common", w).cast("int"), F.least(F.array_position("common", w), F.lit(1)).cast("int")), F.lit(""))
+    # A common word, known by its hash, becomes a letter, so that one short string per document holds all that is counted.
+    letters = F.array(*map(F.lit, ["", *_LETTERS]))
+    letter = lambda h: F.get(letters, F.array_position("common", h).cast("int"))
     wide = _repeats(split.select(
         "doc_id", "lang", F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"), F.length("text").alias("n_chars"),
         only(r"#*$%&|<>").cast("bigint").alias("n_symbols"), only("A-Z").alias("n_upper"), only("0-9").alias("n_digits"), only(r".,;:!?'\"()\-").alias("n_points"), (F.octet_length("text") - F.length("text")).alias("n_wide"),
         F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.size("common").alias("n_common"), F.array_join(F.transform("words", letter), "").alias("letters"),
-        _windows(F.col("words")).alias("hashes"),
+        F.size("common").alias("n_common"), F.array_join(F.transform("word_hashes", letter), "").alias("letters"),
+        _windows(F.col("word_hashes")).alias("hashes"),
     ))
     counts = F.when(F.col("lang").isNotNull(), F.transform(F.sequence(F.lit(1), F.col("n_common")), lambda i: (F.octet_length("letters") - F.octet_length(F.replace(F.col("letters"), F.substring(F.lit(_LETTERS), i, F.lit(1))))).cast("double")))
     rest = F.greatest(F.col("word_chars") - F.col("n_symbols") - F.col("n_upper") - F.col("n_digits") - F.col("n_points") - F.col("n_wide"), F.lit(0))

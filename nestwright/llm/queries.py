@@ -16,9 +16,23 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
-#: op6: windows by running sums of tokens; repeated turns count in formatted_chars. op7: windows of items against all places
+#: op3: all strings of 400 and 256 bytes by digest, of texts written in hexadecimal. op6: windows by running sums of tokens; repeated turns count in formatted_chars. op7: windows of items against all places
 #: of documents. op10: all pairs of sets that share a shingle, and the least id that links reach.
 SQL: dict[str, str] = {
+    "op3_exact_substrings": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 800)) AS k FROM d, unnest(range(0, n - 399)) t(s)),
+        r AS (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM w GROUP BY 1 HAVING count(*) > 1)),
+        i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM r)),
+        spans AS (SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM i GROUP BY doc_id, g),
+        edges AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS upto FROM spans),
+        gone AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) AS kept FROM edges JOIN d USING (doc_id) GROUP BY 1),
+        v AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 512)) AS k FROM d, unnest(range(0, n - 255)) t(s)),
+        q AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS later FROM v WHERE k IN (SELECT k FROM v GROUP BY 1 HAVING count(*) > 1)),
+        near AS (SELECT doc_id, sum(least(coalesce(later - s, 256), 256)) AS n_repeated FROM q GROUP BY 1)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated
+        FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op6_chat_format": r"""
         WITH told AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

@@ -206,7 +206,7 @@ def redact(docs: DataFrame, marker: str = "<secret>") -> DataFrame:
     """docs with every span of its texts replaced by a marker (overlapping spans: one); other columns as they are."""
     found = secret_spans(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h1", "h2"])
     met = C.packed(docs).join(C.named(found), C.met(), "left").select("row", "spans")
-    return met.mapInArrow(lambda batches: _mask(batches, marker), docs.schema)
+    return C.materialize(met.mapInArrow(lambda batches: _mask(batches, marker), docs.schema))  # written here, in small Arrow batches
 
 
 def query(spark, sf_dir: str) -> DataFrame:
