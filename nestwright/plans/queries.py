@@ -103,7 +103,7 @@ add("sort_limit_topk", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1
 add("skip_limit", "orders", [{"$sort": {"o_orderkey": 1}}, {"$skip": 30}, {"$limit": 10}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30")
 add("count", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$count": "n"}], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 add("replaceroot", "nation", [{"$replaceRoot": {"newRoot": {"k": "$n_nationkey", "v": "$n_name"}}}], "SELECT n_nationkey AS k, n_name AS v FROM nation")
-add("sample_size", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$sample": {"size": 25}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "keys": {"$addToSet": "$o_orderkey"}}}, {"$project": {"_id": 1, "n": 1, "distinct": {"$size": "$keys"}}}], "SELECT o_orderstatus AS _id, least(count(*), 25) AS n, CAST(least(count(DISTINCT o_orderkey), 25) AS INTEGER) AS distinct FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 0 GROUP BY 1")
+add("sample_size", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$sample": {"size": 25}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "keys": {"$addToSet": "$o_orderkey"}}}, {"$project": {"_id": 1, "n": 1, "distinct": {"$size": "$keys"}}}], "SELECT o_orderstatus AS _id, least(count(*), 25) AS n, CAST(least(count(DISTINCT o_orderkey), 25) AS INTEGER) AS distinct FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 add("unwind", "part", [{"$project": {"p_partkey": 1, "w": {"$split": ["$p_name", " "]}}}, {"$unwind": "$w"}], "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
 add("unwind_index", "part", [{"$project": {"p_partkey": 1, "w": {"$split": ["$p_name", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}], "SELECT p_partkey, w[i + 1] AS w, i FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), unnest(range(len(w))) t(i)")
 add("unwind_preserve", "part", [{"$project": {"p_partkey": 1, "w": {"$filter": {"input": {"$split": ["$p_name", " "]}, "cond": {"$eq": ["$$this", "ring"]}}}}}, {"$unwind": {"path": "$w", "preserveNullAndEmptyArrays": True}}], "SELECT p_partkey, CASE WHEN list_contains(string_split(p_name, ' '), 'ring') THEN 'ring' END AS w FROM part")
