@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,8 +54,14 @@ def _settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Tables written inside each open scratch(), innermost last.
-_written: list[list[DataFrame]] = []
+class _Open(threading.local):
+    """Tables written inside each open scratch() of a thread, innermost last."""
+
+    def __init__(self):
+        self.written: list[list[DataFrame]] = []
+
+
+_open = _Open()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -63,8 +70,8 @@ def materialize(df: DataFrame) -> DataFrame:
     with _settings(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _written:
-        _written[-1].append(out)
+    if _open.written:
+        _open.written[-1].append(out)
     return out
 
 
@@ -78,7 +85,7 @@ def release(*written: DataFrame) -> None:
     for df in written:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             _delete(df.sparkSession, path)
-        for made in _written:
+        for made in _open.written:
             made[:] = [x for x in made if x is not df]
 
 
@@ -87,14 +94,14 @@ def scratch() -> Iterator[list[DataFrame]]:
     """At its end the tables that were written inside go, but for those put into the list it gives; an enclosing
     scratch() has these."""
     keep: list[DataFrame] = []
-    _written.append([])
+    _open.written.append([])
     try:
         yield keep
     finally:
-        made = _written.pop()
+        made = _open.written.pop()
         release(*(x for x in made if not any(x is k for k in keep)))
-        if _written:
-            _written[-1] += [x for x in made if any(x is k for k in keep)]
+        if _open.written:
+            _open.written[-1] += [x for x in made if any(x is k for k in keep)]
 
 
 def clear(spark: SparkSession) -> None:
